@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from corvane.llm import format_copies, mixture, quota_sample, terms
+from corvane.llm import format_copies, mixture, personal_info, quota_sample, terms
 from corvane.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -75,6 +75,19 @@ def p4_sample(spark, sf_dir):
     return quota_sample.sample(table(spark, sf_dir, "reviews"), table(spark, sf_dir, "sample_targets"))
 
 
+# --- 5: personal information
+
+
+@query("p5_found")
+def p5_found(spark, sf_dir):
+    return personal_info.items(table(spark, sf_dir, "reviews")).select("review_id", "kind", "item")
+
+
+@query("p5_redacted")
+def p5_redacted(spark, sf_dir):
+    return personal_info.redacted(table(spark, sf_dir, "reviews"))
+
+
 # --- 6: copies hidden by formatting
 
 
