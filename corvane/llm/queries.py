@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from corvane.llm import format_copies, mixture, personal_info, quota_sample, terms
+from corvane.llm import format_copies, mixture, personal_info, quota_sample, sentences, terms
 from corvane.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -125,3 +125,11 @@ def p8_report(spark, sf_dir):
 def p8_mix(spark, sf_dir):
     docs, mixes = table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets")
     return mixture.mix(docs, mixture.plan(docs, mixes))
+
+
+# --- 9: sentence units
+
+
+@query("p9_found")
+def p9_found(spark, sf_dir):
+    return sentences.sentence_units(table(spark, sf_dir, "documents")).select("doc_id", "start_char", "end_char")
