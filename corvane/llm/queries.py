@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from corvane.llm import format_copies, mixture, personal_info, quota_sample, sentences, terms
+from corvane.llm import edit_groups, format_copies, mixture, personal_info, quota_sample, sentences, terms
 from corvane.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,6 +24,14 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+# --- 2: near-duplicates with small edits
+
+
+@query("p2_found")
+def p2_found(spark, sf_dir):
+    return edit_groups.groups(table(spark, sf_dir, "reviews")).select(F.col("first_id").alias("first_review_id"), F.col("id").alias("review_id"))
+
+
 # --- 3: frequency of every term
 
 _TERMS = """
