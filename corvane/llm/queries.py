@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from corvane.llm import edit_groups, format_copies, mixture, personal_info, quota_sample, sentences, terms
+from corvane.llm import edit_groups, format_copies, mixture, personal_info, quota_sample, sentences, split_overlap, terms
 from corvane.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,6 +24,19 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+# --- 1: the same records across splits
+
+
+@query("p1_found")
+def p1_found(spark, sf_dir):
+    return split_overlap.found(table(spark, sf_dir, "split_rows"), table(spark, sf_dir, "cache_manifest"))
+
+
+@query("p1_report")
+def p1_report(spark, sf_dir):
+    return split_overlap.report(table(spark, sf_dir, "split_rows"), table(spark, sf_dir, "cache_manifest"))
+
+
 # --- 2: near-duplicates with small edits
 
 
