@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from corvane.llm import edit_groups, format_copies, mixture, personal_info, quota_sample, sentences, split_overlap, terms
+from corvane.llm import edit_groups, format_copies, leaks, mixture, personal_info, quota_sample, sentences, split_overlap, terms
 from corvane.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -122,6 +122,19 @@ def p6_records(spark, sf_dir):
     return format_copies.records(table(spark, sf_dir, "reviews"))
 
 
+# --- 7: evaluation texts in the corpus
+
+
+@query("p7_found")
+def p7_found(spark, sf_dir):
+    return leaks.found(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
+@query("p7_leaks")
+def p7_leaks(spark, sf_dir):
+    return leaks.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
 # --- 8: mixing sources to target weights
 
 _MIX = """
