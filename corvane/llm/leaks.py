@@ -25,22 +25,22 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from corvane.llm.common import spread, words
+from corvane.llm.common import cut, spread, words
 
 RUN = 12
 WINDOW = 9
 STEP = 4
-COSINE = 0.95
+COSINE = 0.97
 #: Latent dimensions, extra columns of the range finder, random directions, power iterations.
-RANK, OVER, RANDOM, POWER = 32, 8, 8, 1
+RANK, OVER, RANDOM, POWER = 64, 8, 8, 1
 #: Documents the latent space is fitted on; every document is searched.
 FIT_DOCS = 4000
-CENTROIDS = 256
+CENTROIDS = 512
 #: Items searched at a time; more are searched in blocks, so what is broadcast is bounded.
 ITEM_BLOCK = 5000
 #: Item words of a passage in the same order that make an unequal passage a paraphrase, and the share of its answer.
 PARAPHRASE, ANSWER = 0.6, 0.8
-ROWS = 20_000
+ROWS = 60_000
 
 
 class Items:
@@ -73,41 +73,49 @@ def _starts(n: int) -> np.ndarray:
     return s if s[-1] == n - WINDOW else np.append(s, n - WINDOW)
 
 
-def _document_frequency(df: DataFrame, vocabulary: dict[str, int]) -> tuple[np.ndarray, int]:
-    """Documents that hold each item word, and all documents; counted in the tasks, summed by Spark."""
+def _encoded(df: DataFrame, vocabulary: dict[str, int]) -> DataFrame:
+    """(id, words): the documents' words as numbers of the items' words, -1 for all others; written once."""
     known = df.sparkSession.sparkContext.broadcast(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         get = known.value.get
-        counts = np.zeros(len(known.value) + 1, np.int64)
         for batch in batches:
-            for text in batch.column("text").to_pylist():
-                found = {get(w, -1) for w in set(words(text))}
-                found.discard(-1)
-                counts[list(found)] += 1
-                counts[-1] += 1
+            coded = [np.array([get(w, -1) for w in words(t)], "<i4").tobytes() for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(coded, pa.binary())], ["id", "words"])
+
+    return cut(df.mapInArrow(run, "id bigint, words binary"))
+
+
+def _document_frequency(coded: DataFrame, size: int) -> tuple[np.ndarray, int]:
+    """Documents that hold each item word, and all documents; counted in the tasks, summed by Spark."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(size + 2, np.int64)
+        for batch in batches:
+            for data in batch.column("words").to_pylist():
+                counts[np.unique(np.frombuffer(data, "<i4"))] += 1
+                counts[size] += 1
+        counts[-1] = 0  # foreign words
         at = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(counts[at], pa.int64())], ["word", "df"])
 
-    out = np.zeros(len(vocabulary) + 1, np.int64)
-    for r in df.mapInArrow(run, "word int, df bigint").groupBy("word").agg(F.sum("df").alias("df")).collect():
+    out = np.zeros(size + 1, np.int64)
+    for r in coded.mapInArrow(run, "word int, df bigint").groupBy("word").agg(F.sum("df").alias("df")).collect():
         out[r["word"]] = r["df"]
     return out[:-1], int(out[-1])
 
 
-def _gram(df: DataFrame, vocabulary: dict[str, int], idf: np.ndarray, omega: np.ndarray) -> np.ndarray:
+def _gram(coded: DataFrame, idf: np.ndarray, omega: np.ndarray) -> np.ndarray:
     """A'A omega for the TF-IDF passages A of the documents, one partial sum per task and word."""
-    ctx = df.sparkSession.sparkContext
-    known, given = ctx.broadcast(vocabulary), ctx.broadcast((idf, omega))
+    given = coded.sparkSession.sparkContext.broadcast((idf, omega))
     width = omega.shape[1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get = known.value.get
         w, om = given.value
         total = np.zeros(om.shape)
         for batch in batches:
-            for text in batch.column("text").to_pylist():
-                ids = np.array([get(x, -1) for x in words(text)], np.int64)
+            for data in batch.column("words").to_pylist():
+                ids = np.frombuffer(data, "<i4").astype(np.int64)
                 s = _starts(len(ids))
                 if not len(s):
                     continue
@@ -120,7 +128,7 @@ def _gram(df: DataFrame, vocabulary: dict[str, int], idf: np.ndarray, omega: np.
 
     schema = "word int, " + ", ".join(f"c{k} double" for k in range(width))
     out = np.zeros(omega.shape)
-    for r in df.mapInArrow(run, schema).groupBy("word").agg(*[F.sum(f"c{k}").alias(f"c{k}") for k in range(width)]).collect():
+    for r in coded.mapInArrow(run, schema).groupBy("word").agg(*[F.sum(f"c{k}").alias(f"c{k}") for k in range(width)]).collect():
         out[r["word"]] = r[1:]
     return out
 
@@ -134,7 +142,7 @@ def latent_space(df: DataFrame, items: Items, df_counts: np.ndarray, n_docs: int
     own = np.zeros((size, min(RANK + OVER, max(size, 1))))
     omega = rng.standard_normal(own.shape)
     for _ in range(1 + POWER):
-        own = _gram(sample, items.vocabulary, idf, omega)
+        own = _gram(sample, idf, omega)
         # the items' own passages belong to the matrix as well
         if len(items.at):
             win = items.flat[items.at[:, None] + np.arange(WINDOW)]
@@ -150,10 +158,12 @@ def latent_space(df: DataFrame, items: Items, df_counts: np.ndarray, n_docs: int
 class Search:
     """Item passages around centroids, and the exact-bound search among them."""
 
-    def __init__(self, items: Items, vectors: np.ndarray, cosine: float, seed: int = 1):
+    def __init__(self, items: Items, vectors: np.ndarray, unknown: float, cosine: float, seed: int = 1):
         self.items, self.vectors, self.cosine = items, vectors, cosine
-        # a word no item has weighs as much against a passage as a typical word of the items
-        self.unknown = float(np.median(np.linalg.norm(vectors, axis=1))) if len(vectors) else 1.0
+        # a word no item has is a dimension of its own, with the weight TF-IDF gives the rarest words
+        self.unknown = unknown
+        self.lookup = np.concatenate((vectors, np.zeros((1, vectors.shape[1]), np.float32)))  # -1 is the last row
+        self.longest = float(np.linalg.norm(vectors, axis=1).max()) if len(vectors) else 0.0
         rows = items.flat[items.at[:, None] + np.arange(WINDOW)] if len(items.at) else np.zeros((0, WINDOW), np.int32)
         # equal passages (in any item) are searched once
         self.passages, inverse = np.unique(np.sort(rows, 1), axis=0, return_inverse=True)
@@ -184,13 +194,15 @@ class Search:
     def hits(self, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(window, passage, cosine) with a cosine of at least the threshold. windows: word numbers, -1 for foreign words."""
         foreign = (windows < 0).sum(1)
-        v = np.where(windows[:, 0, None] >= 0, self.vectors[windows[:, 0]], 0)
+        # with f foreign words the cosine is at most that of the longest passage vector there can be
+        reach = WINDOW * self.longest
+        keep = np.flatnonzero(reach >= self.cosine * np.sqrt(reach**2 + foreign * self.unknown**2) * (1 - 1e-6))
+        windows, foreign = windows[keep], foreign[keep]
+        v = self.lookup[windows[:, 0]]
         for k in range(1, WINDOW):
-            v = v + np.where(windows[:, k, None] >= 0, self.vectors[windows[:, k]], 0)
-        inner = np.linalg.norm(v, axis=1)
-        norm = np.sqrt(inner**2 + foreign * self.unknown**2)
-        keep = np.flatnonzero((inner > 0) & (inner >= self.cosine * norm * (1 - 1e-6)))
-        v = v[keep] / norm[keep, None]
+            v += self.lookup[windows[:, k]]
+        norm = np.sqrt((v * v).sum(1) + foreign * self.unknown**2)
+        v /= norm[:, None] + 1e-30
         # on the unit sphere of all dimensions the angle to a centroid is that of the lifted vector
         close = v @ self.centroids.T >= self.limits - 1e-5
         out = []
@@ -227,7 +239,6 @@ def _search(given, paraphrases: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         search: Search = given.value
         items = search.items
-        get = items.vocabulary.get
 
         def flush(docs):
             gap = np.full(RUN, -3, np.int32)
@@ -293,8 +304,8 @@ def _search(given, paraphrases: bool):
 
         held, size = [], 0
         for batch in batches:
-            for id_, text in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist()):
-                w = np.array([get(x, -1) for x in words(text)], np.int32)
+            for id_, data in zip(batch.column("id").to_pylist(), batch.column("words").to_pylist()):
+                w = np.frombuffer(data, "<i4")
                 if len(w) >= WINDOW:
                     held.append((id_, w))
                     size += len(w) // STEP
@@ -329,10 +340,11 @@ def leaks(documents: DataFrame, items: DataFrame, cosine: float = COSINE, paraph
         block = Items([(r["item_id"], r["text"]) for r in own])
         if not len(block.at):
             continue
-        frequency, n = _document_frequency(src, block.vocabulary)
-        vectors = latent_space(src, block, frequency, n, fit_docs)
-        search = Search(block, vectors, cosine)
-        parts.append(src.mapInArrow(_search(ctx.broadcast(search), paraphrases), HIT))
+        coded = _encoded(src, block.vocabulary)
+        frequency, n = _document_frequency(coded, len(block.vocabulary))
+        vectors = latent_space(coded, block, frequency, n, fit_docs)
+        search = Search(block, vectors, float(np.log(1 + n) + 1), cosine)
+        parts.append(coded.mapInArrow(_search(ctx.broadcast(search), paraphrases), HIT))
     if not parts:
         return documents.sparkSession.createDataFrame([], HIT)
     out = parts[0]
