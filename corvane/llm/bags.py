@@ -119,11 +119,11 @@ def sketch(codes: np.ndarray) -> bytes:
     return np.packbits((np.bincount(h.astype(np.intp), minlength=256) & 1).astype(np.uint8)).tobytes()
 
 
-def pack(codes: list[int]) -> bytes:
+def pack(codes: np.ndarray) -> bytes:
     """Dictionary codes as sorted 16-bit, the others as sorted 64-bit numbers."""
-    low = sorted(c for c in codes if c < 1 << 16)
-    high = sorted(c for c in codes if c >= 1 << 16)
-    return len(low).to_bytes(4, "little") + np.array(low, "<u2").tobytes() + np.array(high, "<u8").tobytes()
+    codes = np.sort(codes)
+    n = int(np.searchsorted(codes, np.uint64(1 << 16)))
+    return n.to_bytes(4, "little") + codes[:n].astype("<u2").tobytes() + codes[n:].astype("<u8").tobytes()
 
 
 def unpack(data: bytes) -> np.ndarray:
