@@ -109,7 +109,7 @@ def report(reviews: DataFrame, plans: DataFrame, fitted: DataFrame | None = None
     fitted = cells(reviews, plans) if fitted is None else fitted
     have = fitted.groupBy("plan_id", "label").agg(F.sum("n").alias("available"), F.sum(F.col("n") * F.col("weight")).alias("raked_share"))
     total = fitted.groupBy("plan_id").agg(F.sum("n").alias("usable"))
-    out = plans.join(have, ["plan_id", "label"], "left").join(total, "plan_id", "left")
+    out = plans.select("plan_id", "source", "label", "target_share", "sample_frac", "min_rows").join(have, ["plan_id", "label"], "left").join(total, "plan_id", "left")
     out = out.fillna(0, ["available", "usable"]).fillna(0.0, ["raked_share"])
     wanted = F.col("target_share") * F.col("sample_frac") * F.col("usable")
     need = F.greatest(wanted, F.col("min_rows").cast("double"))
