@@ -56,6 +56,18 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bounded_sample(df: DataFrame, key: str, size: int, rows: int | None = None) -> DataFrame:
+    """At most `size` rows, the same ones on every run: those of the lowest hash of `key`.
+
+    Rows that can't be among them by a wide margin are left out first, so that tasks
+    don't each offer `size` rows. Only for fitting; results are computed over all rows.
+    """
+    rows = df.count() if rows is None else rows
+    if rows > 4 * size:
+        df = df.where(F.pmod(F.xxhash64(key), F.lit(rows // (2 * size))) == 0)
+    return df.orderBy(F.xxhash64(key), key).limit(size)
+
+
 def norm_source(col):
     """Source names compare ignoring case and surrounding whitespace."""
     return F.lower(F.regexp_replace(col, r"^\s+|\s+$", ""))

@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from corvane.llm.common import cut, spread, words
+from corvane.llm.common import bounded_sample, cut, spread, words
 
 RUN = 12
 WINDOW = 9
@@ -138,7 +138,7 @@ def latent_space(df: DataFrame, items: Items, df_counts: np.ndarray, n_docs: int
     rng = np.random.default_rng(seed)
     idf = np.log((1 + n_docs) / (1 + df_counts)) + 1
     size = len(items.vocabulary)
-    sample = df.orderBy(F.xxhash64("id"), "id").limit(fit_docs).repartition(max(2, df.sparkSession.sparkContext.defaultParallelism // 2))
+    sample = bounded_sample(df, "id", fit_docs, n_docs).repartition(max(2, df.sparkSession.sparkContext.defaultParallelism // 2))
     own = np.zeros((size, min(RANK + OVER, max(size, 1))))
     omega = rng.standard_normal(own.shape)
     for _ in range(1 + POWER):
