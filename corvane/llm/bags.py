@@ -44,20 +44,31 @@ def tokens(sorted_words: list[str]) -> list[str]:
 
 
 ENTRY = "digest binary, bag string, n int, side int, ids array<bigint>"
+#: The side of rows that hold a token and in how many of a task's bags it is.
+COUNTS = -1
+#: Tokens a task counts before it passes the counts on.
+COUNTED = 500_000
 
 
 def _entries(min_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict = {}
+        counts: Counter = Counter()
 
-        def emit():
+        def emit(last: bool):
             cols: list[list] = [[], [], [], [], []]
             for (bag, side), (n, ids) in held.items():
-                digest = xxhash.xxh3_128_digest(bag)
+                parts = tokens(bag.split(" "))
+                counts.update(parts)
+                digest, coded = xxhash.xxh3_128_digest(bag), " ".join(parts)
                 for k in range(0, len(ids), ID_PIECE):
-                    for c, v in zip(cols, (digest, bag, n, side, ids[k : k + ID_PIECE])):
+                    for c, v in zip(cols, (digest, coded, n, side, ids[k : k + ID_PIECE])):
                         c.append(v)
             held.clear()
+            if last or len(counts) > COUNTED:
+                for c, v in zip(cols, ([None] * len(counts), counts, counts.values(), [COUNTS] * len(counts), [None] * len(counts))):
+                    c.extend(v)
+                counts.clear()
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.binary(), pa.string(), pa.int32(), pa.int32(), pa.list_(pa.int64())))], ["digest", "bag", "n", "side", "ids"])
 
         rows = 0
@@ -69,39 +80,27 @@ def _entries(min_words: int):
                     held.setdefault((" ".join(found), side), (len(found), []))[1].append(id_)
                     rows += 1
                     if len(held) >= HOLD or rows >= 50 * HOLD:
-                        yield emit()
+                        yield emit(False)
                         rows = 0
-        if held:
-            yield emit()
+        if held or counts:
+            yield emit(True)
 
     return run
 
 
-def entries(df: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """(digest, bag, n, side, ids) of (id, text, side) rows, written once; equal bags of a task share rows of up to ID_PIECE identifiers."""
-    return cut(spread(df.where("id is not null and text is not null")).mapInArrow(_entries(min_words), ENTRY))
+def entries(df: DataFrame, min_words: int = MIN_WORDS) -> tuple[DataFrame, DataFrame]:
+    """Of (id, text, side) rows: (digest, bag, n, side, ids) and (token, df), both from one written table.
 
+    A bag is its tokens joined by spaces. Equal bags of a task share rows of up to
+    ID_PIECE identifiers. The counts are partial, one per token and task.
+    """
+    table = cut(spread(df.where("id is not null and text is not null")).mapInArrow(_entries(min_words), ENTRY))
+    return table.where(F.col("side") != COUNTS), table.where(F.col("side") == COUNTS).select(F.col("bag").alias("token"), F.col("n").alias("df"))
 
-def _token_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts: Counter = Counter()
 
-    def emit():
-        batch = pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["token", "df"])
-        counts.clear()
-        return batch
-
-    for batch in batches:
-        for bag in batch.column(0).to_pylist():
-            counts.update(tokens(bag.split(" ")))
-        if len(counts) > 500_000:
-            yield emit()
-    if counts:
-        yield emit()
-
-
-def dictionary(entry: DataFrame, size: int = DICTIONARY) -> list[tuple[str, int]]:
+def dictionary(counts: DataFrame, size: int = DICTIONARY) -> list[tuple[str, int]]:
     """The `size` tokens of most texts with their counts, rarest first; ties by token."""
-    found = entry.select("bag").mapInArrow(_token_counts, "token string, df bigint").groupBy("token").agg(F.sum("df").alias("df")).where("df > 1").orderBy(F.desc("df"), "token").limit(size).collect()
+    found = counts.groupBy("token").agg(F.sum("df").alias("df")).where("df > 1").orderBy(F.desc("df"), "token").limit(size).collect()
     return [(r["token"], r["df"]) for r in reversed(found)]
 
 

@@ -75,8 +75,7 @@ def test_groups_with_blocks_and_blobs(spark, monkeypatch):
     df = spark.createDataFrame(rows, "review_id bigint, review_text string")
     want = brute_groups(rows)
     assert {tuple(r) for r in edit_groups.groups(df).collect()} == want
-    entry = bags.entries(df.selectExpr("review_id as id", "review_text as text", "0 as side"))
-    table, size = edit_groups.classes(entry)
+    table, size = edit_groups.classes(*bags.entries(df.selectExpr("review_id as id", "review_text as text", "0 as side")))
     found = components(edit_groups.links(table, size, block=40))
     assert {(r["root"], r["node"]) for r in found.collect() if r["root"] != r["node"]} == want
 
