@@ -7,12 +7,15 @@ others have the tag inside, so the chain is decoded over these candidates.
 
 Emission features are the candidate's context (mark, words and classes around it, the
 state of quotes and brackets, line structure); transitions tie neighbours together. The
-weights are a structured averaged perceptron, trained on a bounded sample:
+weights are a structured averaged perceptron, trained on a bounded sample in which every
+script has its share:
   - punctuated scripts: candidates whose context decides them (weak labels),
   - unpunctuated scripts (Thai, Lao, Khmer, Burmese): the same texts with their
-    end marks stripped, so that the letters before and after a boundary carry it.
-Abbreviations that are in no list are learned from the same sample: tokens whose point
-is mostly followed by a small letter or a digit.
+    end marks stripped, so that the letters before and after a boundary carry it; where a
+    mark was taken away is a boundary.
+Abbreviations that are in no list (tokens whose point is mostly followed by a small letter
+or a digit), words common in running text and the endings of unpunctuated sentences are
+counted over all documents.
 """
 
 from __future__ import annotations
@@ -23,12 +26,14 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
-from corvane.llm.common import bounded_sample, spread
+from corvane.llm.common import spread
 
-#: Bound of the training sample, the only use of less than all documents.
+#: Bound of the sample the weights are trained on, the only use of less than all documents.
 SAMPLE_DOCS = 1500
+#: Different words a task counts before it passes its counts on.
+TALLY_WORDS = 200_000
 EPOCHS = 4
 
 # Abbreviations that a sentence does not end with, and those it can end with.
@@ -47,6 +52,8 @@ HARD = "。！？।॥؟｡⁇⁈⁉！？᙮።"
 _EVENT = re.compile(r"\s*\n\s*|[(（\[【「『“«„‘‹<>›\])）】」』”»’\"]|[.!?…⋯" + HARD + "]+")
 _EVENT_TH = re.compile(_EVENT.pattern + r"|(?<=[฀-๿຀-໿က-႟ក-៿])[ \t ]+|[ \t ]+(?=[฀-๿຀-໿က-႟ក-៿])")
 _UNPUNCTUATED = re.compile("[฀-๿຀-໿က-႟ក-៿]")
+# Scripts that share the training sample, the first that a text holds is its own; others are one more.
+SCRIPTS = ("[฀-๿]", "[຀-໿]", "[က-႟]", "[ក-៿]", "[\u0900-\u097f]", "[\u0600-\u06ff]", "[\u3040-\u30ff]", "[\uac00-\ud7af]", "[\u3400-\u9fff]", "[\u0400-\u04ff]", "[\u0370-\u03ff]")
 _PAIRS = {"(": ")", "（": "）", "[": "]", "【": "】", "「": "」", "『": "』", "“": "”", "«": "»", "„": "“”", "‘": "’", "‹": "›"}
 _CLOSERS = frozenset(")）]】」』”»’›\"“")
 _BRACKETS = frozenset("(（[【")
@@ -91,7 +98,7 @@ def _list_lines(text: str) -> tuple[set[int], list[tuple[int, int]]]:
 
 
 class Stats:
-    """What the sample tells: abbreviations, words common in running text, and the endings of unpunctuated sentences."""
+    """What all documents tell: abbreviations, words common in running text, and the endings of unpunctuated sentences."""
 
     def __init__(self, abbreviations=frozenset(), common=frozenset(), endings=frozenset()):
         self.abbreviations, self.common, self.endings = abbreviations, common, endings
@@ -313,34 +320,115 @@ def _letter_class(c: str) -> str:
     return "t" if c and _UNPUNCTUATED.match(c) else _class(c)
 
 
-def learn_words(texts: list[str]) -> Stats:
-    point, low, words = Counter(), Counter(), Counter()
-    for t in texts:
-        for m in re.finditer(r"(?<!\S)([^\W\d_]{1,8}(?:\.[^\W\d_]{1,3})*)\. (\S)", t):
-            point[m[1].casefold()] += 1
-            low[m[1].casefold()] += m[2].islower() or m[2].isdigit()
-        words.update(m[1] for m in re.finditer(r"(?<=[^\W\d_,] )([^\W\d_]+)", t) if m[1].islower())
-    return Stats(frozenset(w for w, n in point.items() if n >= 5 and low[w] > 0.5 * n), frozenset(w for w, n in words.items() if n >= 5), _endings(texts))
+_POINT = re.compile(r"(?<!\S)([^\W\d_]{1,8}(?:\.[^\W\d_]{1,3})*)\. (\S)")
+_RUNNING = re.compile(r"(?<=[^\W\d_,] )([^\W\d_]+)")
+_MARKS = re.compile(r"(?<=[฀-๿຀-໿က-႟ក-៿])[ ]?[.!?…]+(?=\s|$)")
 
 
-_MARKS = re.compile(r"(?<=[฀-๿຀-໿က-႟ក-៿])[ ]?[.!?…]+(?=\s|$)")
+class Tally:
+    """Counts that are summed over documents: (kind, key) has how often it is so and how often it is not."""
 
+    def __init__(self):
+        self.yes = {"point": Counter(), "word": Counter(), "ending": Counter()}
+        self.no = {"point": Counter(), "word": Counter(), "ending": Counter()}
 
-def _endings(texts: list[str]) -> frozenset[str]:
-    """Three letters that stand before known ends (a mark taken away, the end of a block) more often than inside words."""
-    ends, inside = Counter(), Counter()
-    for text in texts:
-        if not _UNPUNCTUATED.search(text):
-            continue
+    def add(self, text: str) -> None:
+        for token, nxt in _POINT.findall(text):
+            (self.yes if nxt.islower() or nxt.isdigit() else self.no)["point"][token.casefold()] += 1
+        for w in _RUNNING.findall(text):
+            if w.islower():
+                self.yes["word"][w] += 1
+            elif len(w) > 1:
+                self.no["word"][w.casefold()] += 1  # names are mostly written with capitals, however many texts there are
+        if _UNPUNCTUATED.search(text):
+            self._endings(text)
+
+    def _endings(self, text: str) -> None:
+        """Three letters that stand before a known end (a mark taken away, the end of a block), and inside words."""
         for block in re.split(r"\s*\n\s*\n\s*", text):
             if not _MARKS.search(block) and len(block) < 40:
                 continue  # a heading says nothing about how sentences end
             for part in _MARKS.split(block):
                 part = part.strip()
                 if len(part) > 3 and _UNPUNCTUATED.match(part[-1]):
-                    ends[part[-3:]] += 1
-                    inside.update(part[k - 3 : k] for k in range(3, len(part)) if _UNPUNCTUATED.match(part[k]) and _UNPUNCTUATED.match(part[k - 1]))
-    return frozenset(x for x, n in ends.items() if n >= 2 and n > inside[x])
+                    self.yes["ending"][part[-3:]] += 1
+                    self.no["ending"].update(part[k - 3 : k] for k in range(3, len(part)) if _UNPUNCTUATED.match(part[k]) and _UNPUNCTUATED.match(part[k - 1]))
+
+    def size(self) -> int:
+        return sum(len(c) for part in (self.yes, self.no) for c in part.values())
+
+    def rows(self) -> Iterator[tuple[str, str, int, int]]:
+        for kind, yes in self.yes.items():
+            no = self.no[kind]
+            for key in yes.keys() | no.keys():
+                yield kind, key, yes[key], no[key]
+
+
+def _kept(kind: str, yes: int, no: int) -> bool:
+    """The rule of each kind; `_KEPT` is the same as SQL."""
+    return yes + no >= 5 and yes > no if kind == "point" else yes >= 5 and yes > no if kind == "word" else yes >= 2 and yes > no
+
+
+_KEPT = "case kind when 'point' then yes + no >= 5 and yes > no when 'word' then yes >= 5 and yes > no else yes >= 2 and yes > no end"
+
+
+def _stats(rows) -> Stats:
+    found: dict[str, set[str]] = {"point": set(), "word": set(), "ending": set()}
+    for kind, key, *_ in rows:
+        found[kind].add(key)
+    return Stats(*(frozenset(x) for x in found.values()))
+
+
+def learn_words(texts: list[str]) -> Stats:
+    tally = Tally()
+    for t in texts:
+        tally.add(t)
+    return _stats(r for r in tally.rows() if _kept(r[0], r[2], r[3]))
+
+
+def learn_table(texts: DataFrame) -> Stats:
+    """`learn_words` over all rows of (text): counted by task, summed by key; only what is kept is gathered."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def flush(tally: Tally) -> pa.RecordBatch:
+            kinds, keys, yes, no = zip(*tally.rows()) if tally.size() else ((), (), (), ())
+            return pa.RecordBatch.from_arrays([pa.array(kinds, pa.string()), pa.array(keys, pa.string()), pa.array(yes, pa.int64()), pa.array(no, pa.int64())], ["kind", "key", "yes", "no"])
+
+        tally = Tally()
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                tally.add(text)
+            if tally.size() > TALLY_WORDS:
+                yield flush(tally)
+                tally = Tally()
+        yield flush(tally)
+
+    counts = texts.mapInArrow(run, "kind string, key string, yes bigint, no bigint").groupBy("kind", "key").agg(F.sum("yes").alias("yes"), F.sum("no").alias("no"))
+    return _stats(counts.where(_KEPT).select("kind", "key").collect())
+
+
+def _stripped(text: str) -> tuple[str, set[int]]:
+    """The text without the end marks of unpunctuated scripts, and the places in it where they stood."""
+    out, places, at, last = [], set(), 0, 0
+    for m in _MARKS.finditer(text):
+        out.append(text[last : m.start()])
+        at += m.start() - last
+        places.add(at)
+        last = m.end()
+    return "".join(out) + text[last:], places
+
+
+def _stripped_labels(text: str, stats: Stats) -> list[tuple[list[str], int]]:
+    """Features and labels of the stripped text: where a mark stood is a boundary; other places keep
+    their weak label, as these scripts leave marks out between sentences too."""
+    bare, places = _stripped(text)
+    out = []
+    for end, f, y in candidates(bare, stats):
+        if f[0] == "th":
+            y = 1 if end in places else max(y, 0) if places else y
+        if y >= 0:
+            out.append((f, y))
+    return out
 
 
 class Chain:
@@ -379,7 +467,7 @@ def train(texts: list[str], stats: Stats, epochs: int = EPOCHS, seed: int = 1) -
             data.append(seq)
         if _UNPUNCTUATED.search(t):
             # the same text without its end marks: what is left has to carry the boundary
-            seq = [(f, y) for _, f, y in candidates(_MARKS.sub("", t), stats) if y >= 0]
+            seq = _stripped_labels(t, stats)
             if seq:
                 data.append(seq)
     # start from how often each feature stands with a boundary, so that few texts suffice
@@ -437,12 +525,30 @@ def units(text: str | None, chain: Chain, stats: Stats) -> list[tuple[int, int]]
     return out
 
 
+def script_sample(docs: DataFrame, size: int) -> DataFrame:
+    """At most `size` rows of (id, text, script), the same ones on every run: half is shared evenly by
+    the scripts, half by their number of documents; in each script the rows of the lowest hash."""
+    counts = {r["script"]: r["n"] for r in docs.groupBy("script").agg(F.count("*").alias("n")).collect()}
+    rows = sum(counts.values())
+    if rows <= size:
+        return docs
+    quota = {s: min(n, max(1, int(size / 2 / len(counts) + size / 2 * n / rows))) for s, n in counts.items()}
+    # rows that can't be among them by a wide margin are left out before the window
+    step = {s: max(1, n // (2 * quota[s])) if n > 4 * quota[s] else 1 for s, n in counts.items()}
+    pick = lambda by: F.create_map(*[F.lit(x) for kv in by.items() for x in kv])[F.col("script")]
+    near = docs.where(F.pmod(F.xxhash64("id"), pick(step)) == 0)
+    order = F.row_number().over(W.partitionBy("script").orderBy(F.xxhash64("id"), "id"))
+    return near.withColumn("k", order).where(F.col("k") <= pick(quota)).drop("k")
+
+
 def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE_DOCS) -> tuple[Chain, Stats]:
-    """Train on at most `sample` documents, chosen by hash of the identifier. An empty table gives an empty model."""
-    rows = bounded_sample(df.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "id", sample).collect()
-    texts = [r["text"] for r in rows]
-    stats = learn_words(texts)
-    return train(texts, stats), stats
+    """Count words and endings over all documents; train the weights on at most `sample`. An empty table gives an empty model."""
+    docs = df.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    text, last = F.col("text"), F.lit(len(SCRIPTS))
+    script = F.when(text.rlike("[" + "".join(x[1:-1] for x in SCRIPTS) + "]"), F.coalesce(*[F.when(text.rlike(x), k) for k, x in enumerate(SCRIPTS)], last)).otherwise(last)
+    stats = learn_table(spread(docs.select("text")))
+    rows = script_sample(spread(docs).withColumn("script", script), sample).collect()
+    return train([r["text"] for r in sorted(rows, key=lambda r: (r["id"] is None, r["id"], r["text"]))], stats), stats
 
 
 def sentence_units(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE_DOCS) -> DataFrame:

@@ -89,3 +89,21 @@ def test_sentence_table(spark):
     got = sorted((r["doc_id"], r["start_char"], r["end_char"]) for r in sn.sentence_units(df).collect())
     assert got == [(1, 1, 5), (1, 1, 5), (1, 6, 10), (1, 6, 10), (5, 0, 299_999)]
     assert sn.sentence_units(df.limit(0)).count() == 0
+
+
+def test_rare_script_is_counted_whole(spark):
+    """Four Thai texts among 400 others: a draw of 20 documents has to know their endings."""
+    thai = ["ทำไมการซิงค์ช้ามากครับ? ผมใช้ Pim 7 วันแล้วปฏิทินดีมากค่ะ? รุ่น 2.1 ทำให้การค้นหาดีมากครับ?", "เมื่อวานปฏิทินดีมากครับ ทำไมการส่งออกใช้ยากค่ะ? ผมใช้ Zor 9 วันแล้วดีมากค่ะ?"] * 2
+    bare = "ทำไมปฏิทินช้ามากครับ รุ่น 3.2 ทำให้การซิงค์ดีมากค่ะ ผมใช้ Zor 9 วันแล้วดีมากครับ"
+    rows = [(k, f"It helps on day {k}. The tester liked it.") for k in range(400)] + [(1000 + k, t) for k, t in enumerate([*thai, bare])]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    assert sn.fit(df, sample=20)[1].__dict__ == sn.learn_words([t for _, t in rows]).__dict__
+    got = sorted((r["start_char"], r["end_char"]) for r in sn.sentence_units(df, sample=20).where("doc_id = 1004").collect())
+    assert [bare[a:b] for a, b in got] == ["ทำไมปฏิทินช้ามากครับ", "รุ่น 3.2 ทำให้การซิงค์ดีมากค่ะ", "ผมใช้ Zor 9 วันแล้วดีมากครับ"]
+
+
+def test_removed_marks_are_labels():
+    """An ending that no list holds is a boundary where its mark was taken away."""
+    text = "ปฏิทินดีมากจริง! ผมใช้ Zor 9 วันแล้วดีมากครับ"
+    labels = sn._stripped_labels(text, sn.Stats(endings=frozenset({"รับ"})))
+    assert [y for f, y in labels if "s3:ริง" in f] == [1] and sum(y for _, y in labels) == 1
