@@ -35,11 +35,14 @@ DIGIT_WORDS = {
 
 _ODD_SPACE = re.compile(r"[ \t]{2,}|\t")
 _WORD_DIGITS = re.compile(r"\b(?:(?:" + "|".join(sorted(DIGIT_WORDS, key=len, reverse=True)) + r")\b[ -]?){7,}", re.I)
-_DIGIT_HINTS = ("zero", "five", "null", "fünf", "cero", "cinco", "cinq", "zéro", "пять", "ноль", "nine ", "neun", "nueve", "neuf")
+_ATS = "at|ät|arroba|arobase|klammeraffe|собака"
 _DOTS = "dot|punkt|punto|point|точка"
-_AT = re.compile(rf"\s*[\[({{<]\s*(?:at|ät|arroba|arobase|klammeraffe|собака)\s*[\])}}>]\s*|(?<=\w)\s+(?:at|ät|arroba|arobase|собака)\s+(?=[\w-]+(?:\s+(?:{_DOTS})\s+[\w-]|\s*[\[({{]\s*(?:{_DOTS})\s*[\])}}]))", re.I)
+_AT_BRACKET = rf"[\[({{<]\s*(?:{_ATS})\s*[\])}}>]"
+_AT = re.compile(rf"\s*{_AT_BRACKET}\s*|(?<=\w)\s+(?:{_ATS})\s+(?=[\w-]+(?:\s+(?:{_DOTS})\s+[\w-]|\s*[\[({{<]\s*(?:{_DOTS})\s*[\])}}>]))", re.I)
 _DOT = re.compile(rf"\s*[\[({{<]\s*(?:{_DOTS})\s*[\])}}>]\s*|(?<=\w)\s+(?:{_DOTS})\s+(?=\w)", re.I)
-_AT_HINTS = ("at)", "at]", "at}", "at >", "at )", "at ]", "arroba", "arobase", "affe", "собака", " dot ", " punkt ", " punto ", " point ", " точка ")
+# What a text must hold for the patterns to match: an at-sign in brackets, or a word for the dot.
+_AT_BRACKET = re.compile(_AT_BRACKET, re.I)
+_DOT_WORDS = tuple(_DOTS.split("|"))
 #: Characters that compatibility normalisation or the removal of format characters can change.
 _COMPAT = re.compile("(?:.[̀-ͯ]+|[ ­²³¹¼-¾ -‏ -  -₟℀-⅏　ﬀ-ﬆ﻿＀-￯\U0001d400-\U0001d7ff])+", re.S)
 _AT_TOKEN = re.compile(r"\S*@\S*")
@@ -110,9 +113,10 @@ def normalise(text: str) -> Offsets:
     if "  " in o.text or "\t" in o.text:
         o.rewrite([(m.start(), m.end(), " ") for m in _ODD_SPACE.finditer(o.text)])
     low = o.text.lower()
-    if any(h in low for h in _DIGIT_HINTS):
+    # of seven words in a row the inner five stand between blanks or hyphens
+    if sum(map(DIGIT_WORDS.__contains__, low.replace("-", " ").split())) >= 5:
         o.rewrite([(m.start(), m.start() + len(m[0].rstrip(" -")), "".join(DIGIT_WORDS[w.lower()] for w in re.findall(r"\w+", m[0]))) for m in _WORD_DIGITS.finditer(o.text)])
-    if any(h in low for h in _AT_HINTS):
+    if any(w in low for w in _DOT_WORDS) or _AT_BRACKET.search(o.text):
         at = [(m.start(), m.end(), "@") for m in _AT.finditer(o.text)]
         if at:
             # Dots count as disguised only near a disguised at-sign.
@@ -146,8 +150,11 @@ _PHONE = re.compile(
     r")(?![\w\-]|[.,:]\d)"
 )
 
+#: The fewest digits that _PHONE admits: "(12) 345 67".
+LEAST_PHONE = 7
+
 #: A number with what may stand inside it; everything about digits is looked for around these.
-_CHUNK = re.compile(r"[+(]?\d(?:[\d .\-/()]*\d)?")
+_CHUNK = re.compile(r"(?:\(\+|[+(])?\d(?:[\d .\-/()]*\d)?")
 
 # Words that end a street name, and words that begin one.
 _STREET = "street|road|lane|avenue|drive|close|way|row|court|terrace|place|square|gardens|crescent|boulevard|grove|hill|park|walk|mews|rise|view"
@@ -278,7 +285,7 @@ def find(text: str | None) -> list[tuple[str, int, int]]:
         size = sum(map(m[0].count, "0123456789"))
         if size >= 6:
             _identity(t, a, b, add)
-        if size >= 9:
+        if size >= LEAST_PHONE:
             for p in _PHONE.finditer(t, a, min(len(t), b + 2)):
                 if p.end() <= b and not _NOT_PERSON.search(t, max(0, p.start() - 30), p.start()):
                     add("phone", *p.span())

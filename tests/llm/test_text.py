@@ -107,3 +107,19 @@ def test_removed_marks_are_labels():
     text = "ปฏิทินดีมากจริง! ผมใช้ Zor 9 วันแล้วดีมากครับ"
     labels = sn._stripped_labels(text, sn.Stats(endings=frozenset({"รับ"})))
     assert [y for f, y in labels if "s3:ริง" in f] == [1] and sum(y for _, y in labels) == 1
+
+
+def test_every_disguise_is_tried():
+    for text, want in [
+        ("It is oh seven seven one two three four six eight one three now", [("phone", "oh seven seven one two three four six eight one three")]),
+        ("It is (seven seven one-two-three four six eight one three).", [("phone", "seven seven one-two-three four six eight one three")]),
+        ("Mail jane at example [dot] com please", [("email", "jane at example [dot] com")]),
+        ("Mail jane <at> example.com please", [("email", "jane <at> example.com")]),
+        ("Mail jane (ät) example.de please", [("email", "jane (ät) example.de")]),
+        ("Mail jane { at } example.de please", [("email", "jane { at } example.de")]),
+        ("Call (+49) 170 1234567 today", [("phone", "(+49) 170 1234567")]),
+        ("Call (030) 345 67 today", [("phone", "(030) 345 67")]),
+        ("Call (02) 345 67 today", [("phone", "(02) 345 67")]),
+        ("Two or three of one dozen, one two three four five six", []),
+    ]:
+        assert [(k, text[a:b]) for k, a, b in pi.find(text)] == want, text
