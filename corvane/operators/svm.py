@@ -8,9 +8,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, functions as F
 
-from corvane.functions.scores import learning_rate
+from corvane.functions.scores import argmax, learning_rate
 
 # Fixed values of the update rule and of the training loop.
 CLASS_WEIGHTS = (1.0, 2.4, 1.0)
@@ -144,15 +145,23 @@ def macro_f1(actual: np.ndarray, predicted: np.ndarray) -> float:
     return total / 3
 
 
+def nonzeros(df: DataFrame) -> int:
+    return df.agg(F.coalesce(F.sum(F.size("indices")), F.lit(0)).alias("n")).first()["n"]
+
+
 def gather(df: DataFrame) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray, np.ndarray]:
     """Feature arrays, labels and ids of (doc_id, label, indices, values), after a check of their size."""
-    size = df.agg(F.coalesce(F.sum(F.size("indices")), F.lit(0)).alias("n")).first()["n"]
+    size = nonzeros(df)
     if size > SEQUENTIAL_NONZEROS:
-        raise ValueError(f"{size} values are too many for sequential training; use batch_step")
+        raise ValueError(f"{size} values are too many for sequential training; use fit_batch")
     t = df.select("doc_id", "label", "indices", "values").toArrow()
     order = np.argsort(t.column("doc_id").to_numpy(), kind="stable")
-    ind, val = t.column("indices").to_pylist(), t.column("values").to_pylist()
-    return [np.array(ind[k], np.int64) for k in order], [np.array(val[k]) for k in order], t.column("label").to_numpy()[order], t.column("doc_id").to_numpy()[order]
+    # views of the flat columns: lists of Python numbers would take several times the values' size
+    lengths = pa.compute.list_value_length(t.column("indices")).to_numpy()
+    ends = np.cumsum(lengths)
+    ind, val = (pa.compute.list_flatten(t.column(c)).to_numpy() for c in ("indices", "values"))
+    spans = [(ends[k] - lengths[k], ends[k]) for k in order]
+    return [ind[a:b] for a, b in spans], [val[a:b] for a, b in spans], t.column("label").to_numpy()[order], t.column("doc_id").to_numpy()[order]
 
 
 def fit_sequential(train: DataFrame, validation: DataFrame, features: int, epochs: int = EPOCHS, rate_scale: float = 1.0, class_weights: tuple[float, float, float] = CLASS_WEIGHTS, seed: int = 1) -> tuple[LinearModel, list[History]]:
@@ -187,3 +196,71 @@ def fit_sequential(train: DataFrame, validation: DataFrame, features: int, epoch
     if best_state:
         model.weights, model.bias = best_state
     return model, history
+
+
+def fit_batch(train: DataFrame, validation: DataFrame, features: int, epochs: int = EPOCHS, rate_scale: float = 1.0, class_weights: tuple[float, float, float] = CLASS_WEIGHTS) -> tuple[LinearModel, list[History]]:
+    """Training of any size: in every epoch each partition takes its samples one by one from the shared
+    weights, and the weights become the mean of the partitions', by their samples.
+
+    Update rule, rates, validation and early stop are those of `fit_sequential`, but the result
+    depends on the partitioning. No samples are gathered; a task holds 3 x features numbers.
+    """
+    model = LinearModel(features, class_weights)
+    spark = train.sparkSession
+    train = train.select("label", "indices", "values").persist()
+    validation = validation.select("label", "indices", "values").persist()
+
+    def one_pass(rate: float) -> None:
+        shared = spark.sparkContext.broadcast((model.weights, model.bias))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            own = LinearModel(features, class_weights)
+            own.weights, own.bias = (x.copy() for x in shared.value)
+            for batch in batches:
+                for label, i, v in zip(*(c.to_pylist() for c in batch.columns)):
+                    if i:
+                        own.step(np.array(i, np.int64), np.array(v), label, rate)
+            if own.steps:
+                at = np.flatnonzero(own.weights.any(0))
+                fid = np.concatenate([at, [-1, -2]])
+                cols = [np.concatenate([own.weights[c, at] * own.steps, [own.bias[c] * own.steps, (own.steps, own.violations, 0)[c]]]) for c in range(3)]
+                yield pa.RecordBatch.from_arrays([pa.array(fid, pa.int64()), *map(pa.array, cols)], ["fid", "w0", "w1", "w2"])
+
+        sums = train.mapInArrow(run, "fid bigint, w0 double, w1 double, w2 double").groupBy("fid").agg(*[F.sum(f"w{c}").alias(f"w{c}") for c in range(3)]).toArrow()
+        shared.unpersist()
+        fid, w = sums.column("fid").to_numpy(), np.array([sums.column(f"w{c}").to_numpy() for c in range(3)])
+        if not len(fid):
+            return
+        steps, violations, _ = w[:, fid == -2][:, 0]
+        model.trained, model.steps, model.violations = True, model.steps + int(steps), model.violations + int(violations)
+        model.bias = w[:, fid == -1][:, 0] / steps
+        model.weights = np.zeros((3, features))
+        model.weights[:, fid[fid >= 0]] = w[:, fid >= 0] / steps
+
+    best, best_state, waited, history = -math.inf, None, 0, []
+    for epoch in range(1, epochs + 1):
+        one_pass(learning_rate(epoch) * rate_scale)
+        if epoch % VALIDATE_EVERY == 0 or epoch == epochs:
+            scored = score_arrays(validation, model, ("label",)).select("label", argmax([F.col(f"s{c}") for c in range(3)]).alias("predicted"))
+            cells = scored.groupBy("label", "predicted").count().collect()
+            actual, predicted = (np.repeat([r[k] for r in cells], [r["count"] for r in cells]) if cells else np.array([], int) for k in ("label", "predicted"))
+            f1 = macro_f1(actual, predicted)
+            good = f1 > best + LEAST_GAIN
+            history.append(History(epoch, f1, good))
+            if good:
+                best, waited, best_state = f1, 0, (model.weights.copy(), model.bias.copy())
+            else:
+                waited += 1
+                if waited >= PATIENCE:
+                    break
+    if best_state:
+        model.weights, model.bias = best_state
+    train.unpersist()
+    validation.unpersist()
+    return model, history
+
+
+def fit(train: DataFrame, validation: DataFrame, features: int, epochs: int = EPOCHS, rate_scale: float = 1.0) -> tuple[LinearModel, list[History]]:
+    """`fit_sequential` where all values can be gathered, else `fit_batch`."""
+    small = max(nonzeros(train), nonzeros(validation)) <= SEQUENTIAL_NONZEROS
+    return (fit_sequential if small else fit_batch)(train, validation, features, epochs, rate_scale)

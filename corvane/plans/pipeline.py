@@ -28,7 +28,7 @@ def train(rows: DataFrame, params: vectorizer.VectorizerParams = vectorizer.Vect
     part = {s: rows.where(F.col("split") == s) for s in ("train", "validation", "test")}
     v = vectorizer.fit(part["train"], params)
     arrays = {s: v.transform_arrays(p, ("doc_id", "label")) for s, p in part.items()}
-    model, history = svm.fit_sequential(arrays["train"], arrays["validation"], v.size, epochs, rate_scale)
+    model, history = svm.fit(arrays["train"], arrays["validation"], v.size, epochs, rate_scale)
     return Trained(v, model, history, evaluate_model(arrays["test"], model))
 
 

@@ -317,7 +317,7 @@ def svm_batch_step(spark, sf_dir):
 @query("svm_sequential_fit")
 def svm_sequential_fit(spark, sf_dir):
     rows = dataset.split_rows(_docs(spark, sf_dir)).persist()
-    t = pipeline.train(rows, vectorizer.VectorizerParams(max_features=5000), epochs=4, rate_scale=100.0)
+    t = pipeline.train(rows)
     return t.test.withColumns({"steps": F.lit(t.model.steps), "violations": F.lit(t.model.violations)})
 
 
@@ -361,7 +361,7 @@ def csr_dot_row(spark, sf_dir):
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labelled scan, dedup, split, vocabulary, training, scoring: prediction records of the test split."""
     rows = dataset.split_rows(_docs(spark, sf_dir)).persist()
-    t = pipeline.train(rows, vectorizer.VectorizerParams(max_features=5000), epochs=4, rate_scale=100.0)
+    t = pipeline.train(rows)
     return pipeline.predict_texts(rows.where("split = 'test'"), t.vectorizer, t.model)
 
 

@@ -205,3 +205,37 @@ def test_entry_imports():
     import __spark_entry__ as e
 
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_batch_training_beyond_the_sequential_bound(spark, monkeypatch):
+    rows = [(k, k % 3, [k % 3], [1.0]) for k in range(60)] + [(60, 0, [], [])]
+    df = spark.createDataFrame(rows, "doc_id bigint, label int, indices array<int>, values array<double>").repartition(3)
+    monkeypatch.setattr(svm, "SEQUENTIAL_NONZEROS", 10)
+    model, history = svm.fit(df, df, 3, epochs=20, rate_scale=10.0)
+    assert [int(np.argmax(model.scores(np.array([c]), np.array([1.0])))) for c in range(3)] == [0, 1, 2]
+    assert len(history) == 4 and [h.accepted for h in history] == [True, False, False, False] and model.steps == 8 * 60
+    one, _ = svm.fit_batch(df.coalesce(1), df, 3, epochs=2)
+    assert one.steps == 120 and svm.fit_batch(df.limit(0), df.limit(0), 3, epochs=2)[0].steps == 0
+
+
+def test_whole_runs_use_the_default_parameters(monkeypatch):
+    from corvane.operators.vectorizer import VectorizerParams
+    from corvane.plans import pipeline, queries
+
+    class Stop(Exception):
+        pass
+
+    def fit(df, params):
+        assert params == VectorizerParams()
+        raise Stop
+
+    class Rows:
+        persist = where = lambda self, *_: self
+
+    monkeypatch.setattr(queries, "_docs", lambda *_: None)
+    monkeypatch.setattr(dataset, "split_rows", lambda *_: Rows())
+    monkeypatch.setattr(pipeline.F, "col", lambda *_: None)
+    monkeypatch.setattr(pipeline.vectorizer, "fit", fit)
+    for query in (queries.predict_pipeline, queries.svm_sequential_fit):
+        with pytest.raises(Stop):
+            query(None, "")
