@@ -8,7 +8,7 @@ from corvane.llm.common import cut
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(node, root): the smallest node reachable over (a, b) links. Nodes without links are left out.
+    """(node, root): the smallest node reachable over (a, b) links, of any ordered type. Nodes without links are left out.
 
     Every round is three pre-aggregated group-bys and is written to the shared folder;
     rounds grow with the logarithm of the longest chain.

@@ -2,16 +2,17 @@
 
 A record's canonical bytes are the letters and digits of its NFKC form without case.
 A text made of labelled parts has a second key: its parts (label and content)
-in sorted order. Records are copies if either key agrees.
+in sorted order. Records are copies if either key agrees, also over others.
 
-1. Each task canonicalises its rows and keeps one entry per distinct key with the
+1. Each task canonicalises its rows and keeps one entry per distinct pair of keys with the
    identifiers of its copies (in pieces of at most ID_PIECE), so a key held by a third
    of all rows is shuffled as few entries.
 2. Recursive radix partitioning: entries are counted by their first bytes; a bucket
    over the size limit is split by further bytes after the prefix all its keys share,
    until each fits or holds one single key.
 3. Each bucket's entries go into a burst trie whose terminals count the copies.
-4. Classes of labelled texts are counted again, the same way, by their second key.
+4. Second keys are counted the same way and tell which classes belong together; the
+   connected components over both keys are the records.
 """
 
 from __future__ import annotations
@@ -25,11 +26,12 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from corvane.llm.common import WORD, cut, spread
+from corvane.llm.components import components
 
 ID_PIECE = 1000
-#: A bucket's limit in bytes is the larger of BUCKET_BYTES and total / MAX_LARGE, so at
-#: most MAX_LARGE buckets of a level exceed it: the bound of what is gathered and broadcast.
+#: A bucket's limit in bytes: what one trie holds.
 BUCKET_BYTES = 32 << 20
+#: Prefixes of oversized buckets up to this many are broadcast; more are joined by shuffle.
 MAX_LARGE = 20_000
 MIN_WORDS = 12
 #: Distinct keys a task holds before it passes them on.
@@ -75,11 +77,11 @@ ENTRY = "key binary, digest binary, parts binary, ids array<bigint>"
 
 def _entries(min_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, list] = {}
+        held: dict[tuple, list] = {}
 
         def emit():
             cols: list[list] = [[], [], [], []]
-            for key, (parts, ids) in held.items():
+            for (key, parts), ids in held.items():
                 data = key.encode("utf-8", "surrogatepass")
                 for k in range(0, len(ids), ID_PIECE):
                     for c, v in zip(cols, (data, xxhash.xxh3_128_digest(data), parts and parts.encode("utf-8", "surrogatepass"), ids[k : k + ID_PIECE])):
@@ -92,7 +94,7 @@ def _entries(min_words: int):
             for id_, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 key, parts, count = keys(text)
                 if count >= min_words:
-                    held.setdefault(key, [parts, []])[1].append(id_)
+                    held.setdefault((key, parts), []).append(id_)
                     n += 1
                     if len(held) >= HOLD or n >= 50 * HOLD:
                         yield emit()
@@ -148,27 +150,46 @@ class BurstTrie:
                     yield prefix + rest, id_, n
 
 
-COUNTED = "digest binary, first_id bigint, copies bigint"
+def _count(kind: pa.DataType):
+    """Rows (bucket, key, id, n), sorted by bucket, with identifiers of `kind`; one trie at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trie, now = BurstTrie(), None
+
+        def emit():
+            rows = [(xxhash.xxh3_128_digest(k), i, n) for k, i, n in trie.terminals()]
+            c = list(zip(*rows)) or [[], [], []]
+            return pa.RecordBatch.from_arrays([pa.array(c[0], pa.binary()), pa.array(c[1], kind), pa.array(c[2], pa.int64())], ["digest", "first_id", "copies"])
+
+        for batch in batches:
+            for bucket, key, id_, n in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                if bucket != now:
+                    if now is not None:
+                        yield emit()
+                    trie, now = BurstTrie(), bucket
+                trie.add(key, id_, n)
+        if now is not None:
+            yield emit()
+
+    return run
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (bucket, key, id, n), sorted by bucket; one trie at a time."""
-    trie, now = BurstTrie(), None
+def _bucketed(entries: DataFrame, levels: list[tuple[DataFrame, int]], first: int) -> DataFrame:
+    """Entries with their bucket: the first bytes of the key, lengthened as long as the prefix is oversized."""
+    out = entries.withColumn("bucket", F.expr(f"substring(key, 1, {first})"))
+    for level, size in levels:
+        out = out.join(F.broadcast(level) if size <= MAX_LARGE else level, "bucket", "left")
+        out = out.withColumn("bucket", F.coalesce(F.expr("substring(key, 1, length)"), "bucket")).drop("length")
+    return out
 
-    def emit():
-        rows = [(xxhash.xxh3_128_digest(k), i, n) for k, i, n in trie.terminals()]
-        c = list(zip(*rows)) or [[], [], []]
-        return pa.RecordBatch.from_arrays([pa.array(c[0], pa.binary()), pa.array(c[1], pa.int64()), pa.array(c[2], pa.int64())], ["digest", "first_id", "copies"])
 
-    for batch in batches:
-        for bucket, key, id_, n in zip(*(batch.column(i).to_pylist() for i in range(4))):
-            if bucket != now:
-                if now is not None:
-                    yield emit()
-                trie, now = BurstTrie(), bucket
-            trie.add(key, id_, n)
-    if now is not None:
-        yield emit()
+def _shared(first: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lengths = [_common(a, b) + first for a, b in zip(batch.column("low").to_pylist(), batch.column("high").to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column("bucket"), pa.array(lengths, pa.int32())], ["bucket", "length"])
+
+    return run
 
 
 def _common(a: bytes, b: bytes) -> int:
@@ -176,76 +197,55 @@ def _common(a: bytes, b: bytes) -> int:
     return next((i for i in range(n) if a[i] != b[i]), n)
 
 
-def split_lengths(entries: DataFrame, limit: int = BUCKET_BYTES, first: int = 2) -> list[dict[bytes, int]]:
-    """For each level, the prefixes of oversized buckets and the length their keys are split at."""
-    total = entries.agg(F.coalesce(F.sum(F.length("key")), F.lit(0)).alias("b")).first()["b"]
-    limit = max(limit, total // MAX_LARGE)
-    levels: list[dict[bytes, int]] = []
+def split_levels(entries: DataFrame, limit: int = BUCKET_BYTES, first: int = 2) -> list[tuple[DataFrame, int]]:
+    """For each level, the table (bucket, length) of oversized prefixes and the length their keys are split at, and its rows."""
+    levels: list[tuple[DataFrame, int]] = []
     while True:
-        bucket = _bucket(levels, first)
-        large = [bytes(r["bucket"]) for r in entries.groupBy(bucket.alias("bucket")).agg(F.sum(F.length("key")).alias("b")).where(F.col("b") > limit).collect()]
-        done = {p for level in levels for p in level}
-        large = [p for p in large if p not in done]
-        if not large:
-            return levels
-        spans = entries.withColumn("bucket", bucket).where(F.col("bucket").isin(*[bytearray(p) for p in large])) if len(large) <= 100 else entries.withColumn("bucket", bucket).join(F.broadcast(entries.sparkSession.createDataFrame([(bytearray(p),) for p in large], "bucket binary")), "bucket", "left_semi")
-        ranges = spans.groupBy("bucket").agg(F.min("key").alias("low"), F.max("key").alias("high")).collect()
-        level = {bytes(r["bucket"]): _common(bytes(r["low"]), bytes(r["high"])) + first for r in ranges if r["low"] != r["high"]}
-        if not level:
+        sizes = _bucketed(entries, levels, first).groupBy("bucket").agg(F.sum(F.length("key")).alias("bytes"), F.min("key").alias("low"), F.max("key").alias("high"))
+        # a bucket of one key is not split: its trie has one terminal
+        level = cut(sizes.where((F.col("bytes") > limit) & (F.col("low") != F.col("high"))).select("bucket", "low", "high").mapInArrow(_shared(first), "bucket binary, length int"))
+        size = level.count()
+        if not size:
             return levels
-        levels.append(level)
-
-
-def _bucket(levels: list[dict[bytes, int]], first: int):
-    """The bucket of a key: its first bytes, lengthened as long as the prefix is oversized."""
-    if not levels:
-        return F.expr(f"substring(key, 1, {first})")
-
-    @F.arrow_udf("binary")
-    def route(key: pa.Array) -> pa.Array:
-        out = []
-        for k in key.to_pylist():
-            p = k[:first]
-            for level in levels:
-                n = level.get(p)
-                if n is not None:
-                    p = k[:n]
-            out.append(p)
-        return pa.array(out, pa.binary())
-
-    return route("key")
+        levels.append((level, size))
 
 
 def count_keys(entries: DataFrame, limit: int = BUCKET_BYTES) -> DataFrame:
-    """(digest, first_id, copies) of each distinct key; entries: (key, id, n)."""
-    levels = split_lengths(entries, limit)
-    rows = entries.select(_bucket(levels, 2).alias("bucket"), "key", "id", "n")
-    return rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_count, COUNTED)
+    """(digest, first_id, copies) of each distinct key; entries: (key, id, n), id a bigint or binary."""
+    kind = entries.schema["id"].dataType.simpleString()
+    rows = _bucketed(entries.select("key", "id", "n"), split_levels(entries, limit), 2).select("bucket", "key", "id", "n")
+    return rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_count(pa.int64() if kind == "bigint" else pa.binary()), f"digest binary, first_id {kind}, copies bigint")
 
 
 def copy_classes(df: DataFrame, id_col: str = "review_id", text_col: str = "review_text", min_words: int = MIN_WORDS, limit: int = BUCKET_BYTES) -> tuple[DataFrame, DataFrame]:
-    """(entries, classes): entries (digest, ids), classes (digest, first_id, copies).
+    """(entries, classes): entries (digest, ids), classes (digest, first_id, copies) by plain key.
 
-    Texts of fewer than `min_words` words, null and empty ones belong to no class.
-    Identifiers repeated in the table count as separate rows. Other columns are not read.
+    Classes of one record have its smallest identifier and the sum of its copies. Texts of
+    fewer than `min_words` words, null and empty ones belong to no class. Identifiers
+    repeated in the table count as separate rows. Other columns are not read. The order
+    and partitioning of the rows do not matter.
     """
     src = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null and text <> ''")
     entries = cut(spread(src).mapInArrow(_entries(min_words), ENTRY))
     counted = count_keys(entries.select("key", F.array_min("ids").alias("id"), F.size("ids").cast("bigint").alias("n")), limit)
-    labelled = entries.where("parts is not null").groupBy("digest").agg(F.min("parts").alias("parts"))
-    if not labelled.take(1):
+    labelled = entries.where("parts is not null").select("digest", "parts").distinct()
+    if not entries.where("parts is not null").take(1):
         return entries, counted
     counted = cut(counted)
-    twice = cut(counted.join(labelled, "digest").select("digest", F.col("parts").alias("key"), F.col("first_id").alias("id"), F.col("copies").alias("n"), F.col("first_id"), F.col("copies")))
-    again = count_keys(twice.select("key", "id", "n"), limit).select(F.col("digest").alias("parts_digest"), F.col("first_id").alias("first2"), F.col("copies").alias("copies2"))
 
     @F.arrow_udf("binary")
     def digest_of(key: pa.Array) -> pa.Array:
         return pa.array([xxhash.xxh3_128_digest(k) for k in key.to_pylist()], pa.binary())
 
-    second = twice.select("digest", digest_of("key").alias("parts_digest")).join(again, "parts_digest").select("digest", "first2", "copies2")
-    classes = counted.join(second, "digest", "left").select("digest", F.coalesce("first2", "first_id").alias("first_id"), F.coalesce("copies2", "copies").alias("copies"))
-    return entries, classes
+    labelled = cut(labelled.withColumn("second", digest_of("parts")))
+    hubs = count_keys(labelled.select(F.col("parts").alias("key"), F.col("digest").alias("id"), F.lit(1).cast("bigint").alias("n")), limit)
+    hubs = hubs.where("copies > 1").select(F.col("digest").alias("second"), F.col("first_id").alias("hub"))
+    joined = cut(labelled.join(hubs, "second").where("digest <> hub").select(F.col("hub").alias("a"), F.col("digest").alias("b")))
+    roots = components(joined).withColumnsRenamed({"node": "digest"})
+    part = counted.join(roots, "digest")
+    whole = part.groupBy("root").agg(F.min("first_id").alias("first2"), F.sum("copies").alias("copies2"))
+    second = part.select("digest", "root").join(whole, "root").select("digest", "first2", "copies2")
+    return entries, counted.join(second, "digest", "left").select("digest", F.coalesce("first2", "first_id").alias("first_id"), F.coalesce("copies2", "copies").alias("copies"))
 
 
 def records(df: DataFrame, **options) -> DataFrame:

@@ -6,8 +6,11 @@ the pivotal method: two documents meet, token mass moves between them at random,
 without bias, until one of their fractions is 0 or 1, and the other goes on. Moving
 mass, not probability, keeps the tokens drawn equal to the target but for one document.
 
-Each task runs the tournament over its rows and leaves at most one unsettled document
-for each mix and source; these meet in a reduction tree of fixed fan-in.
+Documents are spread over nodes by a hash of their identifier, as many as their number
+asks for. A node runs the tournament over its rows in order of identifiers and leaves at
+most one unsettled document for each mix and source; these meet in a reduction tree of
+fixed fan-in until one node is left. The draw depends on identifiers, sizes and the seed,
+not on how the rows are partitioned.
 """
 
 from __future__ import annotations
@@ -19,9 +22,11 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from corvane.llm.common import cut, norm_source, spread
+from corvane.llm.common import cut, norm_source
 
 FAN_IN = 32
+#: Documents of a node on the average.
+NODE_DOCS = 20_000
 EPS = 1e-12
 #: Mix rows are broadcast; beyond this many they are joined by shuffle.
 MIX_ROWS = 100_000
@@ -43,9 +48,8 @@ def duel(rng: random.Random, a: list, b: list) -> tuple[list, list]:
     return (a, b) if a[2] in (0.0, 1.0) else (b, a)
 
 
-def _settle(seed: int, name: str, rows: list[list], carry: list | None, out: list) -> list | None:
+def _settle(rng: random.Random, rows: list[list], carry: list | None, out: list) -> list | None:
     """Runs rows through the tournament; settled ones go to out, the open one is returned."""
-    rng = random.Random(f"{seed}:{name}:{rows[0][0] if rows else ''}")
     for row in rows:
         if row[2] in (0.0, 1.0):
             out.append(row)
@@ -65,12 +69,12 @@ PAIRS = "mix_id int, source string, doc_id bigint, tokens bigint, whole bigint,
 
 
 def _local(seed: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
+    """Rows (mix_id, source, doc_id, tokens, copies, node) of whole nodes, sorted by node and document."""
 
-        node = TaskContext.get().partitionId()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         carry: dict = {}
         whole: dict = {}
+        now = None
 
         def emit(rows):
             c = list(zip(*rows))
@@ -79,39 +83,47 @@ def _local(seed: int):
                 ["mix_id", "source", "doc_id", "tokens", "whole", "fraction", "node"],
             )
 
+        def rest():
+            out = [(*key, x[0], x[1], whole[key], x[2], now) for key, x in carry.items() if x is not None]
+            carry.clear()
+            rngs.clear()
+            return out
+
+        rngs: dict = {}
         for batch in batches:
-            groups: dict = {}
-            for mix, source, doc, tokens, copies in zip(*(batch.column(i).to_pylist() for i in range(5))):
-                base = int(copies)
-                whole[mix, source] = base
-                groups.setdefault((mix, source), []).append([doc, tokens, copies - base])
             rows = []
-            for key, items in groups.items():
+            for mix, source, doc, tokens, copies, node in zip(*(batch.column(i).to_pylist() for i in range(6))):
+                if node != now:
+                    rows += rest()
+                    now = node
+                key = (mix, source)
+                base = whole[key] = int(copies)
+                rng = rngs.get(key) or rngs.setdefault(key, random.Random(f"{seed}:{key}:{node}"))
                 done: list = []
-                carry[key] = _settle(seed, f"{key}:{node}", items, carry.get(key), done)
-                rows += [(*key, doc, tokens, whole[key], p, node) for doc, tokens, p in done]
+                carry[key] = _settle(rng, [[doc, tokens, copies - base]], carry.get(key), done)
+                rows += [(*key, d, n, base, p, node) for d, n, p in done]
             if rows:
                 yield emit(rows)
-        rest = [(*key, x[0], x[1], whole[key], x[2], node) for key, x in carry.items() if x is not None]
-        if rest:
-            yield emit(rest)
+        rows = rest()
+        if rows:
+            yield emit(rows)
 
     return run
 
 
 def _merge(seed: int, last: bool):
     def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["node", "doc_id"])
+        pdf = pdf.sort_values(["node", "doc_id", "tokens"])
         done: list = []
         items = [[d, t, p] for d, t, p in zip(pdf["doc_id"], pdf["tokens"], pdf["fraction"])]
-        carry = _settle(seed, f"merge:{key}", items, None, done)
+        carry = _settle(random.Random(f"{seed}:merge:{key}"), items, None, done)
         if carry is not None:
             if last:
                 carry[2] = float(random.Random(f"{seed}:last:{key}").random() < carry[2])
             done.append(carry)
         got = pd.DataFrame(done, columns=["doc_id", "tokens", "fraction"])
         first = pdf.iloc[0]
-        return got.assign(mix_id=first["mix_id"], source=first["source"], whole=first["whole"], node=key[2] if len(key) > 2 else 0)[["mix_id", "source", "doc_id", "tokens", "whole", "fraction", "node"]]
+        return got.assign(mix_id=first["mix_id"], source=first["source"], whole=first["whole"], node=key[2])[["mix_id", "source", "doc_id", "tokens", "whole", "fraction", "node"]]
 
     return run
 
@@ -136,27 +148,28 @@ def plan(documents: DataFrame, mixes: DataFrame) -> DataFrame:
 def mix(documents: DataFrame, planned: DataFrame, seed: int = 1) -> DataFrame:
     """(mix_id, source, doc_id, tokens, copies), one row per document drawn at least once.
 
-    Ties and repeated rows are separate documents. An empty table gives no row.
+    Ties and repeated rows are separate documents. An empty table gives no row. Of every
+    mix and source the tokens drawn differ from what is due by less than one document.
     """
-    few = planned.select("mix_id", "source", "copies").where("copies > 0 and source is not null")
-    few = F.broadcast(few) if few.count() <= MIX_ROWS else few
-    src = spread(sizes(documents))
-    pairs = src.join(few, "source").select(F.col("mix_id").cast("int").alias("mix_id"), "source", "doc_id", "tokens", "copies")
-    state = cut(pairs.mapInArrow(_local(seed), PAIRS))
-    nodes = state.rdd.getNumPartitions()
+    few = planned.select(F.col("mix_id").cast("int").alias("mix_id"), "source", "copies").where("copies > 0 and source is not null")
+    small = few.count() <= MIX_ROWS
+    src = sizes(documents)
+    nodes = max(1, -(-src.count() // NODE_DOCS))
+    placed = src.withColumn("node", F.pmod(F.xxhash64("doc_id"), F.lit(nodes)))
+    # where the mixes are few, sizes are shuffled before they are multiplied by them
+    ordered = placed.repartition("node").join(F.broadcast(few), "source") if small else placed.join(few, "source").repartition("node")
+    ordered = ordered.sortWithinPartitions("node", "doc_id", "tokens")
+    state = cut(ordered.select("mix_id", "source", "doc_id", "tokens", "copies", "node").mapInArrow(_local(seed), PAIRS))
     done = state.where("fraction in (0.0, 1.0)")
     rest = state.where("fraction > 0.0 and fraction < 1.0")
-    while nodes > 1:
+    while True:
         nodes = -(-nodes // FAN_IN)
-        up = rest.withColumn("up", F.floor(F.col("node") / FAN_IN)).groupBy("mix_id", "source", "up").applyInPandas(_merge(seed, nodes == 1), PAIRS)
-        if nodes > 1:
-            up = cut(up)
-            done = done.unionByName(up.where("fraction in (0.0, 1.0)"))
-            rest = up.where("fraction > 0.0 and fraction < 1.0")
-        else:
-            rest = up
-    if state.rdd.getNumPartitions() <= 1:
-        rest = rest.groupBy("mix_id", "source", "node").applyInPandas(_merge(seed, True), PAIRS)
+        rest = rest.withColumn("up", F.floor(F.col("node") / FAN_IN)).groupBy("mix_id", "source", "up").applyInPandas(_merge(seed, nodes == 1), PAIRS)
+        if nodes == 1:
+            break
+        rest = cut(rest)
+        done = done.unionByName(rest.where("fraction in (0.0, 1.0)"))
+        rest = rest.where("fraction > 0.0 and fraction < 1.0")
     out = done.unionByName(rest).select("mix_id", "source", "doc_id", "tokens", (F.col("whole") + F.col("fraction").cast("bigint")).alias("copies"))
     return out.where("copies > 0")
 

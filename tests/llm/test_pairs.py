@@ -143,6 +143,19 @@ def test_format_copies(spark):
     assert format_copies.copies(df.limit(0)).count() == 0
 
 
+def test_format_copies_over_both_keys(spark):
+    a = "Pros it opens fast and never lost data Cons the menu hides under the long list"
+    b = "Pros: it opens fast and never lost data | Cons: the menu hides under the long list"
+    c = "Cons: the menu hides under the long list | Pros: it opens fast and never lost data"
+    other = "Pros: the menu hides under the long list | Cons: it opens fast and never lost data"
+    for k, order in enumerate(([a, b, c, other], [b, a, c, other], [other, c, b, a])):
+        rows = list(enumerate(order))
+        mine = sorted(k for k, t in rows if t != other)
+        df = spark.createDataFrame(rows, "review_id bigint, review_text string").coalesce(1).repartition(1 + k)
+        assert {tuple(r) for r in format_copies.copies(df).collect()} == {(mine[0], k) for k in mine[1:]}
+    assert {tuple(r) for r in format_copies.records(df).collect()} == {(mine[0], 3), (order.index(other), 1)}
+
+
 def test_burst_trie():
     rng = random.Random(1)
     keys = [bytes(rng.choices(b"ab", k=rng.randrange(0, 9))) for _ in range(3000)]

@@ -61,8 +61,9 @@ def test_rake():
     assert not quota_sample.rake(np.zeros(2), [np.array([0, 1])], [np.array([0.5, 0.5])]).any()
 
 
-@pytest.mark.parametrize("parts", [1, 3, 40])
-def test_mixture(spark, parts):
+@pytest.mark.parametrize("parts,node_docs", [(1, 20_000), (3, 100), (40, 4), (400, 4)])
+def test_mixture(spark, monkeypatch, parts, node_docs):
+    monkeypatch.setattr(mixture, "NODE_DOCS", node_docs)
     rng = random.Random(1)
     docs = [(k, rng.choice(["a", " A", "b", "c", None]), rng.choice([10, 50, 200, None, 0])) for k in range(1500)]
     df = spark.createDataFrame([(*d, 1) for d in docs], "doc_id bigint, source string, n_tokens bigint, copies int").repartition(parts)
@@ -77,6 +78,9 @@ def test_mixture(spark, parts):
         assert r["short"] == (r["max_repeats"] * size[name] < goal)
         assert abs(r["drawn_tokens"] - min(goal, r["max_repeats"] * size[name])) <= 200 and r["most_copies"] <= r["max_repeats"]
     out = mixture.mix(df, mixture.plan(df, mixes))
+    if parts > 1:
+        other = df.repartition(2)
+        assert {tuple(r) for r in out.collect()} == {tuple(r) for r in mixture.mix(other, mixture.plan(other, mixes)).collect()}
     assert out.count() == out.select("mix_id", "doc_id").distinct().count()
     assert mixture.report(df.limit(0), mixes).count() == 4
 
@@ -85,7 +89,7 @@ def test_pivotal_is_unbiased():
     hits = 0
     for seed in range(400):
         done = []
-        carry = mixture._settle(seed, "x", [[k, 10 * (1 + k % 3), 0.3] for k in range(9)], None, done)
+        carry = mixture._settle(random.Random(seed), [[k, 10 * (1 + k % 3), 0.3] for k in range(9)], None, done)
         hits += sum(p for i, _, p in done if i == 4) + (carry[2] if carry and carry[0] == 4 else 0)
     assert abs(hits / 400 - 0.3) < 0.08
 
