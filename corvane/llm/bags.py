@@ -109,18 +109,57 @@ def rare_code(token: str) -> int:
     return xxhash.xxh3_64_intdigest(token) | 1 << 63
 
 
-SKETCH_WORDS = 4
+#: Words of the sketch of a short text, and of the longest ones.
+SKETCH_WORDS, MOST_WORDS = 4, 64
+
+
+def sketch_words(n: int) -> int:
+    """Words of 64 bits in the sketch of n tokens: a power of two that leaves most bits to single tokens."""
+    w = SKETCH_WORDS
+    while w < MOST_WORDS and 128 * w < 3 * n:
+        w *= 2
+    return w
+
+
+def sketches(codes: np.ndarray, lengths: np.ndarray) -> list[bytes]:
+    """Parity sketches of consecutive sets: two of them differ in at most as many bits as the sets differ
+    in tokens. The exclusive or of a sketch's halves is the sketch of half its width."""
+    h = (codes * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)
+    width = np.array([sketch_words(n) for n in lengths.tolist()], np.int64)
+    ends = np.cumsum(lengths)
+    out: list[bytes] = []
+    start = 0
+    while start < len(lengths):
+        w, stop, limit = int(width[start]), start + 1, max(1, 1 << 14 >> int(width[start]).bit_length())
+        while stop < len(lengths) and stop - start < limit and width[stop] == w:
+            stop += 1
+        part = slice(int(ends[start] - lengths[start]), int(ends[stop - 1]))
+        row = np.repeat(np.arange(stop - start), lengths[start:stop])
+        at = (h[part] & np.uint64(64 * w - 1)).astype(np.int64) + row * (64 * w)
+        bits = np.packbits((np.bincount(at, minlength=(stop - start) * 64 * w) & 1).astype(np.uint8), bitorder="little").tobytes()
+        out += [bits[k * 8 * w : (k + 1) * 8 * w] for k in range(stop - start)]
+        start = stop
+    return out
 
 
 def sketch(codes: np.ndarray) -> bytes:
-    """Parity sketch of 256 bits: two of them differ in at most as many bits as the sets differ in tokens."""
-    h = (codes * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(56)
-    return np.packbits((np.bincount(h.astype(np.intp), minlength=256) & 1).astype(np.uint8)).tobytes()
+    return sketches(codes, np.array([len(codes)]))[0]
+
+
+def encode(bag_list: list[str], code: dict[str, int], rare) -> tuple[list[np.ndarray], list[bytes]]:
+    """(sorted codes, sketch) of each bag; `rare` codes the tokens that `code` lacks."""
+    parts = [b.split(" ") for b in bag_list]
+    lengths = np.array([len(p) for p in parts], np.int64)
+    get = code.get
+    flat = np.array([c if (c := get(t)) is not None else rare(t) for p in parts for t in p], np.uint64)
+    found = np.split(flat, np.cumsum(lengths)[:-1]) if parts else []
+    for a in found:
+        a.sort()
+    return found, sketches(flat, lengths)
 
 
 def pack(codes: np.ndarray) -> bytes:
-    """Dictionary codes as sorted 16-bit, the others as sorted 64-bit numbers."""
-    codes = np.sort(codes)
+    """Sorted codes: those of the dictionary as 16-bit, the others as 64-bit numbers."""
     n = int(np.searchsorted(codes, np.uint64(1 << 16)))
     return n.to_bytes(4, "little") + codes[:n].astype("<u2").tobytes() + codes[n:].astype("<u8").tobytes()
 

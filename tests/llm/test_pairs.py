@@ -76,10 +76,35 @@ def test_groups_with_blocks_and_blobs(spark, monkeypatch):
     want = brute_groups(rows)
     assert {tuple(r) for r in edit_groups.groups(df).collect()} == want
     table, size = edit_groups.classes(*bags.entries(df.selectExpr("review_id as id", "review_text as text", "0 as side")))
-    found = components(edit_groups.links(table, size, block=40))
+    found = components(edit_groups.connecting_links(table, size, block=40))
     assert {(r["root"], r["node"]) for r in found.collect() if r["root"] != r["node"]} == want
 
 
+def test_sketches():
+    rng = np.random.default_rng(3)
+    for n in (12, 95, 171, 500, 4000):
+        a = rng.choice(1 << 40, n, replace=False).astype(np.uint64)
+        b = np.concatenate((a[: n * 4 // 5], rng.choice(1 << 40, n // 5, replace=False).astype(np.uint64)))
+        s = edit_groups.Sketches([bags.sketch(a), bags.sketch(b), bags.sketch(a[:12])])
+        assert (s.away(np.array([0, 0]), np.array([1, 2])) <= [2 * n // 5 + 2, n - 12]).all()
+        w = 1
+        while w <= s.width[:2].min():
+            assert sum(int(np.bitwise_count(x[0] ^ x[1])) for x in s.words(w)) <= 2 * n // 5 + 2
+            w *= 2
+
+
+def test_partial_overlaps_add_up():
+    rng = np.random.default_rng(5)
+    order = edit_groups.Order([(f"t{k}", 1 + k // 9) for k in range(400)])
+    for _ in range(50):
+        x, y = (np.sort(np.concatenate((rng.choice(400, 40, replace=False).astype(np.uint64), rng.choice(9, 4, replace=False).astype(np.uint64) + np.uint64(1 << 63)))) for _ in range(2))
+        parts = [order.segments(bags.pack(v)) for v in (x, y)]
+        assert len(parts[0]) == edit_groups.PARTS
+        low = edit_groups._twice([p[0] for p in parts[0]], [p[0] for p in parts[1]], "<u2")
+        high = edit_groups._twice([p[1] for p in parts[0]], [p[1] for p in parts[1]], "<u8")
+        assert (low > 0).sum() > 1 and low.sum() + high.sum() == len(np.intersect1d(x, y))
+
+
 def test_components(spark):
     chain = [(k, k + 1) for k in range(30)] + [(100, 101), (5, 5)]
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(chain, "a bigint, b bigint")).collect()}
