@@ -146,6 +146,41 @@ def sketch(codes: np.ndarray) -> bytes:
     return sketches(codes, np.array([len(codes)]))[0]
 
 
+class Sketches:
+    """Sketches of several texts, folded to any number of words that both sides of a comparison have."""
+
+    def __init__(self, cells: list[bytes]):
+        self.width = np.array([len(c) // 8 for c in cells], np.int64)
+        self.start = np.cumsum(self.width) - self.width
+        self.flat = np.frombuffer(b"".join(cells), np.uint64)
+        self.widths = np.unique(self.width).tolist()
+        self.made: dict[int, np.ndarray] = {}
+
+    def words(self, w: int) -> np.ndarray:
+        """One row of w words for each text; zero for sketches narrower than that."""
+        if w not in self.made:
+            out = np.zeros((len(self.width), w), np.uint64)
+            for width in self.widths:
+                if width >= w:
+                    rows = np.flatnonzero(self.width == width)
+                    for k in range(width):
+                        out[rows, k % w] ^= self.flat[self.start[rows] + k]
+            self.made[w] = out
+        return self.made[w]
+
+    def away(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Differing bits of pairs, at the width of the narrower side."""
+        if len(self.widths) == 1:
+            return np.bitwise_count(self.words(self.widths[0])[i] ^ self.words(self.widths[0])[j]).sum(1, dtype=np.int32)
+        out = np.zeros(len(i), np.int32)
+        width = np.minimum(self.width[i], self.width[j])
+        for w in self.widths:
+            at = np.flatnonzero(width == w)
+            if len(at):
+                out[at] = np.bitwise_count(self.words(w)[i[at]] ^ self.words(w)[j[at]]).sum(1, dtype=np.int32)
+        return out
+
+
 def encode(bag_list: list[str], code: dict[str, int], rare) -> tuple[list[np.ndarray], list[bytes]]:
     """(sorted codes, sketch) of each bag; `rare` codes the tokens that `code` lacks."""
     parts = [b.split(" ") for b in bag_list]
