@@ -46,6 +46,8 @@ _DOT_WORDS = tuple(_DOTS.split("|"))
 #: Characters that compatibility normalisation or the removal of format characters can change.
 _COMPAT = re.compile("(?:.[̀-ͯ]+|[ ­²³¹¼-¾ -‏ -  -₟℀-⅏　ﬀ-ﬆ﻿＀-￯\U0001d400-\U0001d7ff])+", re.S)
 _AT_TOKEN = re.compile(r"\S*@\S*")
+#: Words with letters of both scripts, in which look-alikes stand for Latin ones.
+_MIXED = re.compile("(?=[^\\W\\d_]*[A-Za-z])(?=[^\\W\\d_]*[" + "".join(LOOKALIKES) + "])[^\\W\\d_]+")
 
 
 class Offsets:
@@ -108,6 +110,8 @@ def normalise(text: str) -> Offsets:
     o = Offsets(text)
     if not text.isascii():
         o.rewrite(_per_char([_compat(m) for m in _COMPAT.finditer(text)], text))
+        if not o.text.isascii():
+            o.rewrite([(m.start(), m.end(), "".join(LOOKALIKES.get(c, c) for c in m[0])) for m in _MIXED.finditer(o.text)])
         if "@" in o.text:
             o.rewrite([(m.start(), m.end(), "".join(LOOKALIKES.get(c, c) for c in m[0])) for m in _AT_TOKEN.finditer(o.text) if not m[0].isascii()])
     if "  " in o.text or "\t" in o.text:
@@ -165,7 +169,7 @@ _NUMBER_FIRST = re.compile(
     re.I,
 )
 _STREET_BEFORE = re.compile(
-    r"(?:\b[^\W\d_]+(?:straße|strasse|str\.|gasse|platz|allee|weg|ufer|damm|ring)"
+    r"(?:\b[^\W\d_]+(?:straße|strasse|str\.)|\b(?-i:[A-ZÄÖÜ])[^\W\d_]+(?:gasse|platz|allee|weg|ufer|damm|ring)"
     r"|\b(?:[^\W\d_]+ ){1,2}(?:straße|strasse|str\.|platz|allee|weg)"
     r"|\b(?:calle|avenida|avda\.|plaza|paseo|carrera|camino|c/) ?(?:(?:de|del|la|las|los) ){0,2}[^\W\d_]+(?: [^\W\d_]+)?,?(?: ?n\.?º)?"
     r"|\b(?:ул\.|улица|пр\.|проспект|пер\.|переулок) ?[^\W\d_]+,?(?: ?(?:д\.|дом))?) $",
@@ -177,6 +181,18 @@ _COMMON_IN_STREET = re.compile(r"(?i)^(?:\d+[a-z]? )?(?:.*\b(?:the|a|an|of|and|i
 _TOK = r"[^\W\d_]+(?:['’][^\W\d_]+)?(?:-[^\W\d_]+)?"
 _FULL = rf"(?:[^\W\d_]\. ?|{_TOK} )(?:[^\W\d_]\. ?)?{_TOK}"
 _TITLE = r"\b(?:Dr|Mr|Mrs|Ms|Miss|Prof|Herr|Frau|Hr|Hrn|Fr|Sr|Sra|Srta|Don|Doña|Mme|Mlle|M|Г-н|Г-жа)\b\.? "
+# Words for the part a person plays, and what stands before them.
+_ROLES = (
+    "colleague|coworker|co-worker|manager|boss|supervisor|assistant|secretary|accountant|bookkeeper|technician|engineer|teacher|tutor|doctor|lawyer|friend|neighbou?r|landlord|tenant|flatmate|roommate|husband|wife|partner|brother|sister|cousin|uncle|aunt|nephew|niece|son|daughter|father|mother|client|customer|agent|advisor|adviser|director|owner|author|user|reviewer"
+    "|kolleg(?:e|en|in)|chef(?:in)?|freund(?:in)?|nachbar(?:n|in)?|bruder|schwester|mann|frau|sohn|tochter|lehrer(?:in)?|arzt|ärztin|leiter(?:in)?|kund(?:e|en|in)|berater(?:in)?"
+    "|compañer[oa]|jef[ea]|amig[oa]|vecin[oa]|herman[oa]|marido|esposa|hij[oa]|profesora?|médic[oa]|client[ea]|asesora?"
+    "|collègue|patronn?e?|amie?|voisine?|frère|sœur|mari|femme|fils|fille|professeure?|médecin|cliente?|conseill(?:er|ère)"
+    "|коллег[аеиу]|начальник[аеу]?|друг[аеу]?|подруг[аеиу]|сосед(?:ка|а|у)?|брат[ау]?|сестр[аеыу]|муж[ау]?|жен[аеуы]|клиент[ау]?"
+)
+_OWN = "my|our|his|her|their|your|the|a|an|former|new|mein(?:e|en|em|er)?|unser(?:e|en|em|er)?|ihr(?:e|en|em)?|sein(?:e|en|em)?|mi|su|nuestr[oa]|mon|ma|notre|son|sa|leur|мо[йяейю]+|наш(?:а|ей|ему)?"
+_ROLE = re.compile(rf"(?<!says )(?<!said )(?<!sagt )(?<!meint )(?<!dice )(?<!dit )\b(?:{_OWN}) (?:{_ROLES}),? ({_FULL})", re.I)
+#: An initial and a surname, neither first nor last of a sentence.
+_INITIAL = re.compile(r"(?:(?<=[^\W\d_] )|(?<=-- ))((?:[A-ZÀ-ÞА-Я][a-zà-ÿа-я'’]+ )?[A-ZÀ-ÞА-Я]\. ?(?:[A-ZÀ-ÞА-Я]\. ?)?[A-ZÀ-ÞА-Я][a-zà-ÿа-я'’]+(?:-[A-ZÀ-ÞА-Я][a-zà-ÿа-я]+)?)(?= [^\W\dA-ZÀ-Þ_])")
 _NAMES = [
     # (literals one of which the text must hold, pattern, needs capitals): a cue on both sides
     # stands for itself, one cue wants a capitalised name, None a capitalised name or the line's end.
@@ -203,7 +219,7 @@ _TITLED_CUE = re.compile(rf"{_TITLE}((?:[^\W\d_]\. ?|{_TOK} )?(?:[^\W\d_]\. ?)?{
 _TITLED = re.compile(rf"{_TITLE}([A-ZÀ-ÞА-Я](?:\. ?|[\w'’]+ )?(?:[A-ZÀ-Þ]\. ?)?[A-ZÀ-ÞА-Я][a-zà-ÿа-я'’]+(?:-[A-ZÀ-ÞА-Я][\w'’]+)?|[A-ZÀ-ÞА-Я][a-zà-ÿа-я'’]+(?:-[A-ZÀ-ÞА-Я][\w'’]+)?)")
 # Words that are no part of a name.
 _NO_NAME = frozenset(
-    "the a an my our your his her their this that it is was and or of for in on at by with from to not call text ask they we i you he she one two both half whole team every each some any all new old back page menu mode "
+    "the a an my our your his her their this that it is was and or of for in on at by with from to not call text ask they we i you he she one two both half whole team since when while after before because then there where every each some any all new old back page menu mode "
     "der die das ein eine mein meine unser und ist el la los las un una mi tu su y es le les une mon ma mes et est please thanks thank long here".split()
 )
 
@@ -217,28 +233,43 @@ def _good_name(name: str, caps: bool | None, text: str, end: int) -> bool:
     tokens = [t.casefold() for t in name.replace(".", ". ").split() if not t.endswith(".")]
     if any(t in _NO_NAME for t in tokens):
         return False
-    if caps is False or _capital(name) or caps is None and name.isupper():
+    if caps is False or _capital(name) or caps is None and name.isupper() and not text[end : end + 24].isupper():
         return True
-    # a signature in small letters stands at the end of its line
+    # a signature in small letters, or among capitals, stands at the end of its line
     return caps is None and (end >= len(text) or text[end] in "\n\r" or text[end:].lstrip(" ")[:1] in ("", "\n"))
 
 
 _SENTENCE_BREAK = re.compile(r"(?<!\bno)(?<!\bnr)[.!?]\s|\n", re.I)
 
 
+def _sentence(t: str, x: int, y: int) -> tuple[int, int]:
+    """The bounds of the sentence around t[x:y]."""
+    start, end = 0, len(t)
+    for m in _SENTENCE_BREAK.finditer(t):
+        if m.end() <= x:
+            start = m.end()
+        elif m.start() >= y:
+            end = m.start()
+            break
+    return start, end
+
+
 def _identity(t: str, a: int, b: int, add) -> None:
-    """An identity number at or around the number t[a:b] with a cue close by in the same sentence."""
+    """An identity number at or around the number t[a:b] with a cue before it in its sentence, or right after it."""
     for m in _ID.finditer(t, max(0, a - 4), min(len(t), b + 3)):
         x, y = m.span()
         if m[0].isalpha() or x >= b or y <= a:
             continue
-        before, after = t[max(0, x - 45) : x], t[y : y + 40]
-        cues = list(_ID_CUE.finditer(before))
-        near = bool(cues) and not _SENTENCE_BREAK.search(before, cues[-1].end())
+        start, end = _sentence(t, x, y)
+        cue = None
+        for cue in _ID_CUE.finditer(t, start, x):
+            pass
+        # a cue speaks of the first number after it
+        near = cue is not None and not any(c.isdigit() for c in t[cue.end() : x])
         if not near:
-            cue = _ID_CUE.search(after)
-            near = cue is not None and cue.start() <= 20 and not _SENTENCE_BREAK.search(after, 0, cue.start())
-        if near and not _NOT_PERSON.search(before[-30:]):
+            near = _ID_CUE.search(t, y, end)
+            near = near is not None and near.start() - y <= 20
+        if near and not _NOT_PERSON.search(t[max(start, x - 30) : x]):
             add("id_number", x, y)
 
 
@@ -303,6 +334,12 @@ def find(text: str | None) -> list[tuple[str, int, int]]:
         for m in _TITLED.finditer(t):
             if _good_name(m[1], True, t, m.end(1)):
                 add("name", *m.span(1))
+    for m in _ROLE.finditer(t):
+        if _good_name(m[1], True, t, m.end(1)):
+            add("name", *m.span(1))
+    for m in _INITIAL.finditer(t) if ". " in t else ():
+        if _good_name(m[1], True, t, m.end(1)):
+            add("name", *m.span(1))
     spans = sorted((x, y, kind) for kind, a, b in found for x, y in [o.span(a, b)])
     return [(kind, x, y) for x, y, kind in spans]
 

@@ -123,3 +123,21 @@ def test_every_disguise_is_tried():
         ("Two or three of one dozen, one two three four five six", []),
     ]:
         assert [(k, text[a:b]) for k, a, b in pi.find(text)] == want, text
+
+
+def test_disguises_and_names_by_context():
+    cases = {
+        "two one three four six seven eight two three six": [("phone", "two one three four six seven eight two three six")],
+        "mail joskin at quickmail d\u043et test now": [("email", "joskin at quickmail d\u043et test")],
+        "write joskin [\u0430t] mailbox [dot] test now": [("email", "joskin [\u0430t] mailbox [dot] test")],
+        "jane <at> example.com": [("email", "jane <at> example.com")],
+        "(+49) 170 1234567 bitte": [("phone", "(+49) 170 1234567")],
+        "Our colleague Cordrine Wethovic found it": [("name", "Cordrine Wethovic")],
+        "mein Kollege Hans Meier schrieb das": [("name", "Hans Meier")],
+        "yesterday J. Smith fixed it": [("name", "J. Smith")],
+        "THE DARK IMPORT -- FEELS ERRATIC UNLESS THE INDEX": [],
+        "and that is bewildering 90 for a year": [],
+        "my passport X44196886 got rejected twice I left 5550174451 with them": [("id_number", "X44196886"), ("phone", "5550174451")],
+    }
+    for text, want in cases.items():
+        assert [(k, text[a:b]) for k, a, b in pi.find(text)] == want, text
