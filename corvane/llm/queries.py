@@ -88,7 +88,17 @@ def p4_found(spark, sf_dir):
 @query("p4_report", _USABLE + """select cast(plan_id as int) as plan_id, cast(label as int) as label, source, cast(usable as bigint) as usable, cast(available as bigint) as available, round(wanted, 4) as wanted,
   cast(min_rows as int) as min_rows, cast(least(greatest(round(wanted), min_rows), available) as bigint) as drawn, cast(greatest(ceil(greatest(wanted, min_rows)) - available, 0) as bigint) as gap, available < greatest(wanted, min_rows) as unmet from w""")
 def p4_report(spark, sf_dir):
-    return quota_sample.report(table(spark, sf_dir, "reviews"), table(spark, sf_dir, "sample_targets")).drop("raked_share", "quota").withColumn("wanted", F.round("wanted", 4))
+    return quota_sample.report(table(spark, sf_dir, "reviews"), table(spark, sf_dir, "sample_targets")).drop("raked").withColumn("wanted", F.round("wanted", 4))
+
+
+@query("p4_margins")
+def p4_margins(spark, sf_dir):
+    return quota_sample.margins(table(spark, sf_dir, "reviews"), table(spark, sf_dir, "sample_targets"))
+
+
+@query("p4_sample_sizes", _USABLE + "select cast(plan_id as int) as plan_id, cast(label as int) as label, cast(least(greatest(round(wanted), min_rows), available) as bigint) as records from w where least(greatest(round(wanted), min_rows), available) > 0")
+def p4_sample_sizes(spark, sf_dir):
+    return quota_sample.sample(table(spark, sf_dir, "reviews"), table(spark, sf_dir, "sample_targets")).groupBy("plan_id", "label").agg(F.countDistinct("review_id").alias("records"))
 
 
 @query("p4_sample")

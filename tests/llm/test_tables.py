@@ -54,11 +54,27 @@ def test_quota_sample(spark):
     assert quota_sample.sample(df.limit(0), p).count() == 0 and quota_sample.report(df.limit(0), p).count() == len(plans)
 
 
+def test_margins(spark):
+    """Source and language keep their shares where no cell runs short."""
+    rng = random.Random(2)
+    rows = [(k, "text", rng.choice(["positive", "negative", "neutral"]), rng.choice(["store", "forum", None]), rng.choice(["en", "de"])) for k in range(3000)]
+    df = spark.createDataFrame(rows, "review_id bigint, review_text string, sentiment string, source string, lang string")
+    p = spark.createDataFrame([(1, None, c, x, 0.2, 0) for c, x in enumerate((0.2, 0.6, 0.2))] + [(2, "store", 0, 0.0, 0.5, 7), (2, "store", 1, 1.0, 0.5, 0)], "plan_id int, source string, label int, target_share double, sample_frac double, min_rows int")
+    out = {(r["plan_id"], r["margin"], r["category"]): r for r in quota_sample.margins(df, p).collect()}
+    assert all(abs(r["gap"]) <= 4 for k, r in out.items() if k[0] == 1) and len([k for k in out if k[0] == 1]) == 8
+    assert out[2, "label", "0"]["drawn"] == 7 and out[2, "label", "2"]["drawn"] == 0
+
+
 def test_rake():
-    n = np.array([10.0, 20, 30, 40])
-    w = quota_sample.rake(n, [np.array([0, 0, 1, 1]), np.array([0, 1, 0, 1])], [np.array([0.5, 0.5]), np.array([0.3, 0.7])])
-    assert np.allclose([w[:2].sum(), w[[0, 2]].sum()], [0.5, 0.3]) and np.isclose(w[0] * w[3] / (w[1] * w[2]), 10 * 40 / (20 * 30))
+    n = np.array([10.0, 20, 30, 40]) * 10
+    axes = [np.array([0, 0, 1, 1]), np.array([0, 1, 0, 1])]
+    w = quota_sample.rake(n, axes, [np.array([50.0, 50.0]), np.array([30.0, 70.0])])
+    assert np.allclose([w[:2].sum(), w[[0, 2]].sum()], [50, 30]) and np.isclose(w[0] * w[3] / (w[1] * w[2]), 10 * 40 / (20 * 30))
+    # a cell gives no more than it has
+    w = quota_sample.rake(np.array([3.0, 50, 50, 50]), axes, [np.array([40.0, 10.0]), np.array([30.0, 20.0])])
+    assert (w <= [3, 50, 50, 50]).all() and np.isclose(w[[1, 3]].sum(), 20)
     assert not quota_sample.rake(np.zeros(2), [np.array([0, 1])], [np.array([0.5, 0.5])]).any()
+    assert quota_sample.whole(np.array([1.4, 2.4, 0.2]), np.array([9, 2, 9]), 4).tolist() == [2, 2, 0]
 
 
 @pytest.mark.parametrize("parts,node_docs", [(1, 20_000), (3, 100), (40, 4), (400, 4)])
