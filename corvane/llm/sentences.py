@@ -3,16 +3,20 @@
 Every character of a text is tagged boundary or inside by a linear-chain model decoded
 with Viterbi. A character can only be a boundary where an end mark, a closing quote or
 bracket, a line end or, in scripts written without end marks, a space allows one; all
-others have the tag inside, so the chain is decoded over these candidates.
-
-Emission features are the candidate's context (mark, words and classes around it, the
-state of quotes and brackets, line structure); transitions tie neighbours together. The
-weights are a structured averaged perceptron, trained on a bounded sample in which every
-script has its share:
-  - punctuated scripts: candidates whose context decides them (weak labels),
-  - unpunctuated scripts (Thai, Lao, Khmer, Burmese): the same texts with their
-    end marks stripped, so that the letters before and after a boundary carry it; where a
-    mark was taken away is a boundary.
+others have the tag inside, so the chain is decoded over these candidates. What stands
+inside an open quotation or bracket, or a list line, is no candidate.
+
+A candidate is described by its context alone: the mark, the kind of the token before it
+(known or learned abbreviation, initial, number, word ..), the characters beside it, the
+case and commonness of the next word, whether a quotation opened the unit. Emission features
+are parts and conjunctions of that description; transitions tie neighbours together. The
+weights are a structured averaged perceptron, trained on
+  - a bounded sample of the documents, every script with its share: contexts that decide
+    themselves (`obvious`); others have no label there,
+  - hand-labelled texts (labelled_texts) for the contexts that do not,
+  - unpunctuated scripts (Thai, Lao, Khmer, Burmese): the sampled texts with their end
+    marks stripped, so that the letters before a boundary carry it; where a mark was
+    taken away is a boundary.
 Abbreviations that are in no list (tokens whose point is mostly followed by a small letter
 or a digit), words common in running text and the endings of unpunctuated sentences are
 counted over all documents.
@@ -29,12 +33,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from corvane.llm.common import spread
+from corvane.llm.labelled_texts import LABELLED
 
 #: Bound of the sample the weights are trained on, the only use of less than all documents.
 SAMPLE_DOCS = 1500
 #: Different words a task counts before it passes its counts on.
 TALLY_WORDS = 200_000
-EPOCHS = 4
+EPOCHS = 6
+#: Contexts whose emission a task keeps.
+KNOWN = 200_000
+#: How often the hand-labelled texts are shown in an epoch.
+SHOWN = 8
 
 # Abbreviations that a sentence does not end with, and those it can end with.
 NEVER = frozenset(
@@ -118,22 +127,25 @@ def _class(c: str) -> str:
     return c if c in ",;:—–-、，；：" else "o"
 
 
-def candidates(text: str, stats: Stats) -> list[tuple[int, list[str], int]]:
-    """[(end of the unit if this is a boundary, features, weak label)]; the label is 1, 0 or -1 where the context leaves it open."""
-    out: list[tuple[int, list[str], int]] = []
+Context = tuple
+
+
+def candidates(text: str, stats: Stats) -> list[tuple[int, Context]]:
+    """[(end of the unit if this is a boundary, context)]."""
+    out: list[tuple[int, Context]] = []
     starts, spans = _list_lines(text)
     spans.append((len(text) + 1, len(text) + 1))
     span = 0
-    stack: list[tuple[str, bool, int]] = []
-    begin = 0  # start of the running unit by the weak labels so far
+    stack: list[tuple[str, bool]] = []
+    begin = 0  # end of the last candidate at which a unit may end
     skip = 0
     thai = bool(_UNPUNCTUATED.search(text))
     n = len(text)
 
-    def propose(end: int, features: list[str], label: int) -> None:
+    def propose(end: int, context: Context) -> None:
         nonlocal begin
-        out.append((end, features, label))
-        if label == 1:
+        out.append((end, context))
+        if obvious(context):
             begin = end
 
     for m in (_EVENT_TH if thai else _EVENT).finditer(text):
@@ -151,19 +163,18 @@ def candidates(text: str, stats: Stats) -> list[tuple[int, list[str], int]]:
                     continue
                 if piece.count("\n") > 1 or "\r" in piece and piece.replace("\r\n", "\n").replace("\r", "\n").count("\n") > 1:
                     stack.clear()
-                    propose(a, ["nl:blank"], 1)
+                    propose(a, ("n", "blank", ""))
                 elif (b - len(_indent(piece))) in starts or b in starts:
                     stack.clear()
-                    propose(a, ["nl:list"], 1)
+                    propose(a, ("n", "list", ""))
                 else:
-                    propose(a, ["nl:wrap", f"nl:wrap:{_class(text[a - 1])}"], 0)
+                    propose(a, ("n", "wrap", _class(text[a - 1])))
             elif not stack and not in_list and a > 0 and b < n:
-                last = text[max(0, a - 3) : a]
-                propose(a, _letters(text, a, b), 1 if last in stats.endings else -1 if _UNPUNCTUATED.match(text[a - 1]) and not stats.endings else 0)
+                propose(a, ("t", text[max(0, a - 4) : a], text[max(0, a - 3) : a] in stats.endings))
             continue
         if c in '"' or c in _PAIRS or c in _CLOSERS:
             if stack and (c in stack[-1][0]) and not (c == "’" and text[b : b + 1].isalpha()):
-                closer, at_start, opened = stack.pop()
+                closer, at_start = stack.pop()
                 if stack or in_list:
                     continue
                 inner = text[:a].rstrip()[-1:] if text[a - 1].isspace() else text[a - 1]
@@ -172,23 +183,8 @@ def candidates(text: str, stats: Stats) -> list[tuple[int, list[str], int]]:
                     while end < n and text[end] in _CLOSERS and text[end] not in '"“':
                         end += 1
                     end, nxt, word = _ahead(text, end)
-                    kind = "b" if closer in ")）]】" else "q"
-                    k = _class(nxt)
-                    if kind == "b":
-                        label, path = (1, "own") if at_start else (0, "within")
-                        if k in ",;:、，；：":
-                            label, path = 0, "goes on"
-                    elif k == "e":
-                        label, path = 1, "last"
-                    elif k in ",;:—–-、，；：" or text[b : b + 1] in ("と", "っ"):
-                        label, path = 0, "goes on"
-                    elif at_start:
-                        label, path = (1, "start upper") if k in "Ud" else (0, "start lower")
-                    elif k == "l" and word in stats.common:
-                        label, path = 0, "common word"
-                    else:
-                        label, path = 1, "carried"
-                    propose(end, [f"close:{kind}:{path}", f"close:{kind}:{inner}:{k}"], label)
+                    carrier = text[b : b + 1] in ("と", "っ")
+                    propose(end, ("c", "b" if closer in ")）]】" else "q", "h" if inner in HARD else inner, at_start, "," if carrier else _class(nxt), word in stats.common))
                     skip = max(skip, end)
                 continue
             if c == '"' or c in _PAIRS:
@@ -198,8 +194,8 @@ def candidates(text: str, stats: Stats) -> list[tuple[int, list[str], int]]:
                 close = max(text.find(x, b, stop) for x in closer)
                 again = text.find(c, b, stop) if c in _BRACKETS else -1
                 # a bracket that opens again before it closes was left open
-                if close >= 0 and not 0 <= again < close and len(stack) < 4:
-                    stack.append((closer, not text[begin:a].strip(), a))
+                if close >= 0 and not 0 <= again < close:
+                    stack.append((closer, not text[begin:a].strip()))
             continue
         if stack or in_list or c in "<>":
             continue
@@ -213,25 +209,18 @@ def candidates(text: str, stats: Stats) -> list[tuple[int, list[str], int]]:
         if k == "e":
             continue  # the text ends here anyway
         if any(x in HARD for x in piece):
-            label, path = (0, "mark goes on") if k in ",;:、，；：" else (1, "hard")
+            mark = "h"
         elif piece[0] in "…⋯" or piece.startswith(".."):
-            cjk = bool(_CJK.match(prev) or _CJK.match(nxt))
-            if cjk or "!" in piece or "?" in piece:
-                label, path = 1, "ellipsis hard"
-            elif k in ",;:—–-":
-                label, path = 0, "ellipsis goes on"
-            elif k == "l":
-                label, path = (0, "ellipsis lower") if word in stats.common else (1, "ellipsis name")
-            else:
-                label, path = (0, "ellipsis tight") if tight and k not in "Ua" else (1, "ellipsis upper")
-        elif "!" in piece or "?" in piece:
-            label, path = (0, "mark goes on") if k in ",;:—–-" or tight and k in "d" else (1, "mark")
-            if tight and _url(text, a):
-                label, path = 0, "address"
+            mark = "x" if "!" in piece or "?" in piece else "…"
         else:
-            label, path = _point(text, a, end, nxt, word, k, tight, stats)
-        token = _token(text, a).casefold()
-        propose(end, [f"end:{path}", f"end:{piece[:2]}:{k}:{int(tight)}", f"tok:{path[:4]}:{token if len(token) < 8 else 'long'}"], label)
+            mark = "!" if "!" in piece or "?" in piece else "."
+        cjk = bool(_CJK.match(prev) or _CJK.match(nxt))
+        kind, before, token = _kind(text, a, stats) if mark == "." else ("", "", "")
+        shape = ""
+        if tight:
+            after = text[b : b + 3]
+            shape = "url" if _url(text, a) else "Aa" if after[:1].isupper() and (after[1:2].islower() or after[1:2] in " '’") else "A" if after[:1].isupper() else _class(after[:1])
+        propose(end, ("e", mark, kind, k, tight, word in stats.common, before, shape, cjk, token))
         skip = max(skip, end)
     return out
 
@@ -265,55 +254,83 @@ def _token(text: str, a: int) -> str:
 
 
 def _url(text: str, a: int) -> bool:
-    token = text[max(0, a - 60) : a].split()[-1:] or [""]
-    return "/" in token[0] or "@" in token[0]
+    token = text[: a].split()[-1:] if a < 200 else text[a - 200 : a].split()[-1:]
+    return bool(token) and ("/" in token[0] or "@" in token[0])
 
 
-def _point(text, a, end, nxt, word, k, tight, stats) -> tuple[int, str]:
+def _kind(text: str, a: int, stats: Stats) -> tuple[str, str, str]:
+    """(kind of the token before a point, whether the word before it calls for an ordinal or the point for a year, short tokens themselves)."""
     token = _token(text, a)
     low = token.casefold().lstrip(".")
-    if k in ",;:—–-":
-        return 0, "point goes on"
-    if tight:
-        # the next unit can follow without a space: "ends.Then"
-        after = text[a + 1 : a + 3]
-        begins = after[1:2].islower() or after[1:2] in " '’" or after.isupper() and token[-1:].islower()
-        ended = token[-1:].islower() or token[-1:].isdigit() or len(token) > 3 and token.isalpha()
-        if after[:1].isupper() and begins and ended and len(low) > 1 and not _url(text, a) and low not in NEVER:
-            return 1, "point tight"
-        if not token and k in "Ua":
-            return 1, "point after close"
-        if _CJK.match(nxt):
-            return 1, "point cjk"
-        return 0, "point inside"
+    short = low if len(low) < 6 else ""
+    if not low:
+        return "none", "", ""
     if low.replace(".", "").isdigit():
         before = text[max(0, a - len(token) - 16) : a - len(token)].split()
-        if token.isdigit() and len(token) < 3 and before and before[-1].casefold() in ORDINAL_BEFORE and k in "Ul":
-            return 0, "ordinal"
-        return (1, "number upper") if k != "l" or word not in stats.common else (0, "number lower")
+        return ("day" if token.isdigit() and len(token) < 3 else "number"), "o" if before and before[-1].casefold() in ORDINAL_BEFORE else "", ""
     if low in ("г", "гг"):
-        year = text[max(0, a - len(token) - 6) : a - len(token)].strip()[-1:].isdigit()
-        return (1, "year") if year and k in "Uo" else (0, "title")
+        return "year", "d" if text[max(0, a - len(token) - 6) : a - len(token)].strip()[-1:].isdigit() else "", short
     if low in CAN_END:
-        return (1, "abbreviation last") if k in "Uao" else (0, "abbreviation within")
+        return "canend", "", short
     if low in NEVER:
-        return 0, "abbreviation"
+        return "never", "", short
     if len(low) == 1 and token.isupper():
-        # the pronoun ends a sentence only after a small word
-        return (1, "pronoun") if token == "I" and text[a - 3 : a - 2].islower() and k == "U" else (0, "initial")
-    if re.fullmatch(r"(?:[^\W\d_]\.)+[^\W\d_]", token):
-        return (1, "letters last") if k == "U" else (0, "letters within")
-    if low in stats.abbreviations and k in "ld":
-        return 0, "learned abbreviation"
-    if len(low) <= 2 and low.isalpha() and k == "l" and low not in stats.common:
-        return 0, "short"
-    return 1, f"word {k if k in 'Ulda' else 'o'}"
-
-
-def _letters(text: str, a: int, b: int) -> list[str]:
-    """Suffixes before a place in unpunctuated script; what follows tells little, as any word can open a sentence."""
-    left = text[max(0, a - 4) : a]
-    return ["th", f"s2:{left[-2:]}", f"s3:{left[-3:]}", f"s4:{left}", f"c:{_letter_class(left[-1:])}"]
+        return ("pronoun" if token == "I" and text[a - 3 : a - 2].islower() else "initial"), "", ""
+    if _DOTTED.fullmatch(token):
+        return "letters", "", ""
+    if low in stats.abbreviations:
+        return "learned", "", ""
+    if len(low) <= 2 and low.isalpha() and low not in stats.common:
+        return "short", "", ""
+    last = token[-1:]
+    return "word" if last.islower() or last.isdigit() or len(token) > 3 and token.isalpha() else "other", "", ""
+
+
+def obvious(context: Context) -> int:
+    """1 or 0 where the context decides by itself whether a unit ends, else -1: the weak labels of unlabelled texts."""
+    if context[0] == "n":
+        return int(context[1] != "wrap")
+    if context[0] == "t":
+        return int(context[2]) if context[1][-1:] and _UNPUNCTUATED.match(context[1][-1]) else 0
+    if context[0] == "c":
+        return 0 if context[4] in _GOES_ON else -1
+    _, mark, kind, k, tight, common, _, shape, cjk, _ = context
+    if k in _GOES_ON:
+        return -1 if k == "—" else 0
+    if mark == "h":
+        return 1
+    if mark == "!":
+        return 0 if shape in ("url", "d") else 1
+    if mark in "x…":
+        return 1 if cjk or mark == "x" or k == "U" and not tight else -1
+    if kind in ("never", "initial") and not tight:
+        return 0
+    if tight:
+        return 0 if shape in ("url", "d", "l") else -1
+    return 1 if kind == "word" and k == "U" else -1
+
+
+_GOES_ON = ",;:—–-、，；："
+_DOTTED = re.compile(r"(?:[^\W\d_]\.)+[^\W\d_]")
+
+
+def features(context: Context) -> list[str]:
+    """Parts and conjunctions of a context."""
+    if context[0] == "n":
+        return [f"n:{context[1]}", f"n:{context[1]}:{context[2]}"]
+    if context[0] == "t":
+        left = context[1]
+        return ["th", f"th:{context[2]}", f"s2:{left[-2:]}", f"s3:{left[-3:]}", f"s4:{left}", f"c:{_letter_class(left[-1:])}"]
+    if context[0] == "c":
+        _, kind, inner, start, k, common = context
+        on = k in _GOES_ON
+        return [f"c:{kind}", f"c:{kind}:{k}", f"c:{kind}:{int(start)}:{k}", f"c:{kind}:{int(start)}:{k}:{int(common)}", f"c:{kind}:{int(start)}", f"c:on:{int(on)}", f"c:{kind}:{inner}:{k}:{int(start)}"]
+    _, mark, kind, k, tight, common, before, shape, cjk, token = context
+    near = f"{k}:{int(tight)}{shape}"
+    out = [f"e:{mark}", f"e:{mark}:{near}", f"e:{mark}:{kind}", f"e:{mark}:{kind}:{near}", f"e:{mark}:{kind}:{near}:{int(common)}{before}", f"e:{mark}:{int(cjk)}:{near}", f"e:on:{int(k in _GOES_ON)}", f"e:{mark}:{k}:{int(common)}"]
+    if token:
+        out += [f"tok:{token}", f"tok:{token}:{k}"]
+    return out
 
 
 def _letter_class(c: str) -> str:
@@ -418,17 +435,30 @@ def _stripped(text: str) -> tuple[str, set[int]]:
     return "".join(out) + text[last:], places
 
 
-def _stripped_labels(text: str, stats: Stats) -> list[tuple[list[str], int]]:
-    """Features and labels of the stripped text: where a mark stood is a boundary; other places keep
-    their weak label, as these scripts leave marks out between sentences too."""
-    bare, places = _stripped(text)
+def _marked(text: str) -> tuple[str, set[int]]:
+    """A hand-labelled text without its bars, and the places in it where they stood."""
+    parts = text.split("|")
+    places, at = set(), 0
+    for part in parts[:-1]:
+        at += len(part)
+        places.add(at)
+    return "".join(parts), places
+
+
+def _sequences(texts: list[str], stats: Stats) -> list[list[tuple[Context, int]]]:
+    """The training sequences of unlabelled and hand-labelled texts."""
     out = []
-    for end, f, y in candidates(bare, stats):
-        if f[0] == "th":
-            y = 1 if end in places else max(y, 0) if places else y
-        if y >= 0:
-            out.append((f, y))
-    return out
+    for t in texts:
+        out.append([(c, y) for _, c in candidates(t, stats) if (y := obvious(c)) >= 0])
+        if _UNPUNCTUATED.search(t):
+            # the same text without its end marks: where a mark stood is a boundary; other places keep
+            # their weak label, as these scripts leave marks out between sentences too
+            bare, places = _stripped(t)
+            out.append([(c, y) for end, c in candidates(bare, stats) if (y := 1 if c[0] == "t" and end in places else max(obvious(c), 0) if c[0] == "t" and places else obvious(c)) >= 0])
+    for t in LABELLED * SHOWN:
+        bare, places = _marked(t)
+        out.append([(c, int(end in places)) for end, c in candidates(bare, stats)])
+    return [x for x in out if x]
 
 
 class Chain:
@@ -436,19 +466,25 @@ class Chain:
 
     def __init__(self, weights: dict[str, float], transitions: tuple[float, float, float, float]):
         self.weights, self.transitions = weights, transitions
-
-    def decode(self, sequence: list[list[str]]) -> list[int]:
-        get = self.weights.get
+        self.known: dict[Context, float] = {}
+
+    def emission(self, context: Context) -> float:
+        e = self.known.get(context)
+        if e is None:
+            e = sum(self.weights.get(f, 0.0) for f in features(context))
+            if len(self.known) > KNOWN:
+                self.known.clear()
+            self.known[context] = e
+        return e
+
+    def decode(self, sequence: list[Context]) -> list[int]:
         ii, ib, bi, bb = self.transitions
         inside, boundary = 0.0, 0.0
         back = []
-        for features in sequence:
-            e = 0.0
-            for f in features:
-                e += get(f, 0.0)
+        for context in sequence:
             to_i = (inside + ii, 0) if inside + ii >= boundary + bi else (boundary + bi, 1)
             to_b = (inside + ib, 0) if inside + ib >= boundary + bb else (boundary + bb, 1)
-            inside, boundary = to_i[0], to_b[0] + e
+            inside, boundary = to_i[0], to_b[0] + self.emission(context)
             back.append((to_i[1], to_b[1]))
         tag = int(boundary > inside)
         tags = []
@@ -460,20 +496,12 @@ class Chain:
 
 def train(texts: list[str], stats: Stats, epochs: int = EPOCHS, seed: int = 1) -> Chain:
     rng = random.Random(seed)
-    data = []
-    for t in texts:
-        seq = [(f, y) for _, f, y in candidates(t, stats) if y >= 0]
-        if seq:
-            data.append(seq)
-        if _UNPUNCTUATED.search(t):
-            # the same text without its end marks: what is left has to carry the boundary
-            seq = _stripped_labels(t, stats)
-            if seq:
-                data.append(seq)
+    data = _sequences(texts, stats)
     # start from how often each feature stands with a boundary, so that few texts suffice
     stand, with_boundary = Counter(), Counter()
     for seq in data:
-        for f, y in seq:
+        for c, y in seq:
+            f = features(c)
             stand.update(f)
             if y:
                 with_boundary.update(f)
@@ -484,15 +512,16 @@ def train(texts: list[str], stats: Stats, epochs: int = EPOCHS, seed: int = 1) -
     step = 0
     for _ in range(epochs):
         rng.shuffle(data)
+        chain = Chain(w, tuple(trans))
         for seq in data:
             step += 1
             gold = [y for _, y in seq]
-            got = Chain(w, tuple(trans)).decode([f for f, _ in seq])
+            got = chain.decode([c for c, _ in seq])
             if got == gold:
                 continue
-            for (f, y), g in zip(seq, got):
+            for (c, y), g in zip(seq, got):
                 if y != g:
-                    for x in f:
+                    for x in features(c):
                         total[x] = total.get(x, 0.0) + w.get(x, 0.0) * (step - seen.get(x, 0))
                         seen[x] = step
                         w[x] = w.get(x, 0.0) + (1.0 if y else -1.0)
@@ -502,6 +531,7 @@ def train(texts: list[str], stats: Stats, epochs: int = EPOCHS, seed: int = 1) -
                     trans_total[j] += trans[j] * (step - trans_seen[j])
                     trans_seen[j] = step
                     trans[j] += sign
+            chain = Chain(w, tuple(trans))
     for x in w:
         total[x] = total.get(x, 0.0) + w[x] * (step + 1 - seen.get(x, 0))
     trans_total = [t + v * (step + 1 - s) for t, v, s in zip(trans_total, trans, trans_seen)]
@@ -514,9 +544,9 @@ def units(text: str | None, chain: Chain, stats: Stats) -> list[tuple[int, int]]
     if not text or text.isspace():
         return []
     found = candidates(text, stats)
-    tags = chain.decode([f for _, f, _ in found])
+    tags = chain.decode([c for _, c in found])
     out, at = [], 0
-    for end in [e for (e, _, _), t in zip(found, tags) if t] + [len(text)]:
+    for end in [e for (e, _), t in zip(found, tags) if t] + [len(text)]:
         piece = text[at:end]
         left = len(piece) - len(piece.lstrip())
         if left < len(piece):
