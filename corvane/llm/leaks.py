@@ -13,8 +13,8 @@ Latent semantic retrieval of short passages, then checks on the words themselves
 3. Item passages are grouped around centroids. A document passage is compared only with
    groups whose centroid is near enough by the triangle inequality, which loses nothing.
 4. Pairs with a cosine of at least `cosine` are checked: the longest run of equal words,
-   and for the others the longest common subsequence with the item and with its answer
-   (the item's last sentence).
+   and for the others the longest common subsequence of the text around the passages with
+   the item and with its answer (the item's last sentence).
 """
 
 from __future__ import annotations
@@ -30,7 +30,8 @@ from corvane.llm.common import bounded_sample, cut, spread, words
 RUN = 12
 WINDOW = 9
 STEP = 4
-COSINE = 0.97
+#: Cosine of passages that can be equal, and of those that may differ in up to two of their words.
+COSINE, PARAPHRASE_COSINE = 0.97, (WINDOW - 2) / WINDOW - 0.03
 #: Latent dimensions, extra columns of the range finder, random directions, power iterations.
 RANK, OVER, RANDOM, POWER = 64, 8, 8, 1
 #: Documents the latent space is fitted on; every document is searched.
@@ -160,7 +161,7 @@ class Search:
 
     def __init__(self, items: Items, vectors: np.ndarray, unknown: float, cosine: float, seed: int = 1):
         self.items, self.vectors, self.cosine = items, vectors, cosine
-        # a word no item has is a dimension of its own, with the weight TF-IDF gives the rarest words
+        # a word no item has is a dimension of its own, of this weight
         self.unknown = unknown
         self.lookup = np.concatenate((vectors, np.zeros((1, vectors.shape[1]), np.float32)))  # -1 is the last row
         self.longest = float(np.linalg.norm(vectors, axis=1).max()) if len(vectors) else 0.0
@@ -243,10 +244,11 @@ def _search(given, paraphrases: bool):
         def flush(docs):
             gap = np.full(RUN, -3, np.int32)
             flat = np.concatenate([x for _, w in docs for x in (gap, w)] + [gap])
-            starts, doc, p = [], [], RUN
+            starts, doc, p, bounds = [], [], RUN, []
             for k, (_, w) in enumerate(docs):
                 s = _starts(len(w))
                 starts.append(s + p)
+                bounds.append((p, p + len(w)))
                 doc.append(np.full(len(s), k))
                 p += len(w) + RUN
             starts, doc = np.concatenate(starts), np.concatenate(doc)
@@ -281,13 +283,15 @@ def _search(given, paraphrases: bool):
             best = np.maximum.reduceat(length[order], first)
             seen = np.diff(np.append(first, len(order)))
             top = np.maximum.reduceat(cosine[rep][order], first)
+            low, high = np.minimum.reduceat(d[order], first), np.maximum.reduceat(d[order], first) + WINDOW
             who = pair[order][first]
             take = best >= RUN
             shared = np.full(len(who), np.nan)
             answer = np.full(len(who), np.nan)
             if paraphrases:
                 for j in np.flatnonzero(take | (seen > 1)):
-                    it, dw = items.words[who[j] % len(items.ids)], docs[who[j] // len(items.ids)][1]
+                    it, (begin, end) = items.words[who[j] % len(items.ids)], bounds[who[j] // len(items.ids)]
+                    dw = flat[max(begin, low[j] - len(it)) : min(end, high[j] + len(it))]
                     shared[j] = common_subsequence(it, dw) / len(it)
                     a = items.answers[who[j] % len(items.ids)]
                     answer[j] = common_subsequence(a, dw) / len(a)
@@ -322,13 +326,15 @@ def _search(given, paraphrases: bool):
     return run
 
 
-def leaks(documents: DataFrame, items: DataFrame, cosine: float = COSINE, paraphrases: bool = True, fit_docs: int = FIT_DOCS) -> DataFrame:
+def leaks(documents: DataFrame, items: DataFrame, cosine: float | None = None, paraphrases: bool = True, fit_docs: int = FIT_DOCS) -> DataFrame:
     """One row per item and document with a leak: (item_id, doc_id, run, passages, cosine, shared, answer).
 
     run is the longest run of shared words, counted up to RUN; a row has run = RUN, or
-    its text shares PARAPHRASE of the item's words in order and ANSWER of its answer's.
+    its text shares PARAPHRASE of the item's words in order and ANSWER of its answer's,
+    around two passages at least that differ from the item's in up to two words of nine.
     Null and empty texts hold nothing; texts of fewer than WINDOW words have no passage.
     """
+    cosine = (PARAPHRASE_COSINE if paraphrases else COSINE) if cosine is None else cosine
     src = spread(documents.select(F.col("doc_id").cast("bigint").alias("id"), "text").where("id is not null and text is not null and text <> ''"))
     rows = items.where(F.col("text").isNotNull()).select(F.col("item_id").cast("bigint").alias("item_id"), "text")
     count = rows.count()
@@ -343,7 +349,10 @@ def leaks(documents: DataFrame, items: DataFrame, cosine: float = COSINE, paraph
         coded = _encoded(src, block.vocabulary)
         frequency, n = _document_frequency(coded, len(block.vocabulary))
         vectors = latent_space(coded, block, frequency, n, fit_docs)
-        search = Search(block, vectors, float(np.log(1 + n) + 1), cosine)
+        # a word no item has: for equal passages as heavy as the rarest word there can be, which leaves out
+        # most passages unseen; for paraphrases as heavy as a word of the items is in the latent space
+        foreign = float(np.linalg.norm(vectors, axis=1).mean()) if paraphrases else float(np.log(1 + n) + 1)
+        search = Search(block, vectors, foreign, cosine)
         parts.append(coded.mapInArrow(_search(ctx.broadcast(search), paraphrases), HIT))
     if not parts:
         return documents.sparkSession.createDataFrame([], HIT)

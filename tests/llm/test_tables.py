@@ -140,6 +140,32 @@ def test_leaks(spark):
     assert [(r["item_id"], r["run"] < 12, r["shared"] > 0.9) for r in leaks.leaks(para, it).collect()] == [(0, True, True)]
 
 
+def test_paraphrases_are_found(spark):
+    """Planted edits of items of 40 words: at least nine tenths of each kind are found, and nothing else."""
+    rng = random.Random(11)
+    vocabulary = [f"v{k}" for k in range(600)]
+    other = [f"o{k}" for k in range(600)]
+    items = [(k, [rng.choice(vocabulary) for _ in range(40)]) for k in range(60)]
+    edits = {
+        "sixth": lambda w: [rng.choice(other) if k % 6 == 3 and k < 36 else x for k, x in enumerate(w)],
+        "eighth": lambda w: [rng.choice(vocabulary) if k % 8 == 3 else x for k, x in enumerate(w)],
+        "inserted": lambda w: [y for k, x in enumerate(w) for y in ([x, rng.choice(other)] if k % 6 == 3 else [x])],
+        "swapped": lambda w: [w[k + 1] if k % 8 == 2 else w[k - 1] if k % 8 == 3 else w[k] for k in range(40)],
+    }
+    docs, want = [], {}
+    for n, (kind, edit) in enumerate(edits.items()):
+        for i, w in items:
+            filler = [rng.choice(vocabulary + other) for _ in range(60)]
+            docs.append((100 * n + i, " ".join(filler[:20] + edit(w) + filler[20:])))
+            want[100 * n + i] = (kind, i)
+    docs += [(1000 + k, " ".join(rng.choice(vocabulary + other) for _ in range(90))) for k in range(60)]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in leaks.leaks(df, spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id bigint, text string")).collect()}
+    found = Counter(want[d][0] for d, i in got if d in want and want[d][1] == i)
+    assert all(found[kind] >= 54 for kind in edits), found
+    assert all(d in want and want[d][1] == i for d, i in got)
+
+
 def test_common_subsequence():
     assert leaks.common_subsequence(np.array([1, 2, 3, 4]), np.array([2, 9, 4, 3])) == 2
     assert leaks.common_subsequence(np.array([1]), np.array([], int)) == 0
