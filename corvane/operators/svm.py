@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import time
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -19,7 +20,9 @@ MARGIN, STEP_CAP, BIAS_SCALE = 1.0, 0.005, 0.1
 REGULARIZATION = 0.00005
 EPOCHS, VALIDATE_EVERY, PATIENCE, LEAST_GAIN = 500, 2, 3, 0.0003
 #: Non-zero values that sequential training may gather in one place (about 12 bytes each).
-SEQUENTIAL_NONZEROS = 50_000_000
+SEQUENTIAL_NONZEROS = 20_000_000
+#: Weight rows that are broadcast; more are joined by shuffle.
+BROADCAST_WEIGHTS = 1_000_000
 
 
 class LinearModel:
@@ -33,7 +36,7 @@ class LinearModel:
 
     def scores(self, indices: np.ndarray, values: np.ndarray) -> np.ndarray:
         """Bias + w.x of each class; indices outside the model count nothing."""
-        ok = indices < self.features
+        ok = (indices >= 0) & (indices < self.features)
         return self.bias + self.weights[:, indices[ok]] @ values[ok]
 
     def step(self, indices: np.ndarray, values: np.ndarray, label: int, rate: float, regularization: float = REGULARIZATION) -> None:
@@ -65,8 +68,12 @@ class LinearModel:
         return spark.createDataFrame([(int(k), *map(float, self.weights[:, k])) for k in at], "fid int, w0 double, w1 double, w2 double")
 
 
-def decision_scores(vectors: DataFrame, weights: DataFrame, bias: tuple[float, float, float], docs: DataFrame | None = None, small: bool = True) -> DataFrame:
-    """(doc_id, s0, s1, s2). With `docs`, documents without features are kept and scored by the bias alone."""
+def decision_scores(vectors: DataFrame, weights: DataFrame, bias: tuple[float, float, float], docs: DataFrame | None = None, small: bool | None = None) -> DataFrame:
+    """(doc_id, s0, s1, s2). With `docs`, documents without features are kept and scored by the bias alone.
+
+    Weights are counted and broadcast up to BROADCAST_WEIGHTS rows; `small` skips the count.
+    """
+    small = weights.count() <= BROADCAST_WEIGHTS if small is None else small
     w = F.broadcast(weights) if small else weights
     sums = vectors.join(w, "fid").groupBy("doc_id").agg(*[F.sum(F.col("x") * F.col(f"w{c}")).alias(f"d{c}") for c in range(3)])
     if docs is not None:
@@ -86,6 +93,10 @@ def score_arrays(df: DataFrame, model: LinearModel, keep: tuple[str, ...] = ("do
             lengths = np.diff(index.offsets.to_numpy())
             flat, x = index.flatten().to_numpy(), value.flatten().to_numpy()
             doc = np.repeat(np.arange(len(lengths)), lengths)
+            # indices outside the model count nothing
+            ok = (flat >= 0) & (flat < w.shape[1])
+            if not ok.all():
+                doc, flat, x = doc[ok], flat[ok], x[ok]
             s = [b[c] + np.bincount(doc, weights=w[c, flat] * x, minlength=len(lengths)) for c in range(3)]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in range(k - 2)), *map(pa.array, s), pa.array(lengths > 0)], [*batch.schema.names[:-2], "s0", "s1", "s2", "has_features"])
 
@@ -121,6 +132,13 @@ class History:
     epoch: int
     macro_f1: float
     accepted: bool
+    rate: float = 0.0
+    seconds: float = 0.0
+
+
+def report(spark, history: list[History]) -> DataFrame:
+    """(epoch, macro_f1, accepted, rate, seconds): the validations of a training, seconds since its start."""
+    return spark.createDataFrame([(h.epoch, h.macro_f1, h.accepted, h.rate, h.seconds) for h in history], "epoch int, macro_f1 double, accepted boolean, rate double, seconds double")
 
 
 def early_stop(values: list[float], patience: int = PATIENCE, gain: float = LEAST_GAIN) -> tuple[float, int]:
@@ -174,7 +192,7 @@ def fit_sequential(train: DataFrame, validation: DataFrame, features: int, epoch
     model = LinearModel(features, class_weights)
     ind, val, labels, ids = gather(train)
     vi, vv, vl, _ = gather(validation)
-    best, best_state, waited, history = -math.inf, None, 0, []
+    best, best_state, waited, history, began = -math.inf, None, 0, [], time.time()
     for epoch in range(1, epochs + 1):
         rate = learning_rate(epoch) * rate_scale
         keys = (ids.astype(np.uint64) + np.uint64((epoch * 0x9E3779B97F4A7C15 + seed) & (1 << 64) - 1)) * np.uint64(0xBF58476D1CE4E5B9)
@@ -186,7 +204,7 @@ def fit_sequential(train: DataFrame, validation: DataFrame, features: int, epoch
             predicted = np.array([int(np.argmax(model.scores(i, v))) for i, v in zip(vi, vv)], int)
             f1 = macro_f1(vl, predicted)
             good = f1 > best + LEAST_GAIN
-            history.append(History(epoch, f1, good))
+            history.append(History(epoch, f1, good, learning_rate(epoch) * rate_scale, time.time() - began))
             if good:
                 best, waited, best_state = f1, 0, (model.weights.copy(), model.bias.copy())
             else:
@@ -237,7 +255,7 @@ def fit_batch(train: DataFrame, validation: DataFrame, features: int, epochs: in
         model.weights = np.zeros((3, features))
         model.weights[:, fid[fid >= 0]] = w[:, fid >= 0] / steps
 
-    best, best_state, waited, history = -math.inf, None, 0, []
+    best, best_state, waited, history, began = -math.inf, None, 0, [], time.time()
     for epoch in range(1, epochs + 1):
         one_pass(learning_rate(epoch) * rate_scale)
         if epoch % VALIDATE_EVERY == 0 or epoch == epochs:
@@ -246,7 +264,7 @@ def fit_batch(train: DataFrame, validation: DataFrame, features: int, epochs: in
             actual, predicted = (np.repeat([r[k] for r in cells], [r["count"] for r in cells]) if cells else np.array([], int) for k in ("label", "predicted"))
             f1 = macro_f1(actual, predicted)
             good = f1 > best + LEAST_GAIN
-            history.append(History(epoch, f1, good))
+            history.append(History(epoch, f1, good, learning_rate(epoch) * rate_scale, time.time() - began))
             if good:
                 best, waited, best_state = f1, 0, (model.weights.copy(), model.bias.copy())
             else:

@@ -37,9 +37,12 @@ def terms(df: DataFrame, params: VectorizerParams, id_col: str = "doc_id") -> Da
 
 
 def term_frequency(df: DataFrame, params: VectorizerParams = VectorizerParams(), id_col: str = "doc_id") -> DataFrame:
-    """(doc_id, term, tf) counted inside each document's array: no shuffle by document."""
+    """(doc_id, term, tf) counted inside each document's sorted array: no shuffle. Rows are documents, also of a repeated identifier."""
     t = F.array_sort(ngrams(tokens(F.col("text")), params.ngram_min, params.ngram_max))
-    return df.select(F.col(id_col).alias("doc_id"), t.alias("t")).select("doc_id", F.explode("t").alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
+    # where each run of equal terms begins, and how far the next one is
+    runs = df.select(F.col(id_col).alias("doc_id"), t.alias("t")).where(F.size("t") > 0)
+    runs = runs.withColumn("at", F.expr("filter(sequence(0, size(t) - 1), i -> i = 0 or t[i] <> get(t, i - 1))"))
+    return runs.select("doc_id", F.expr("inline(transform(at, (p, k) -> struct(t[p] as term, cast(coalesce(get(at, k + 1), size(t)) - p as bigint) as tf)))"))
 
 
 def document_frequency(df: DataFrame, params: VectorizerParams = VectorizerParams()) -> DataFrame:
@@ -68,6 +71,22 @@ class VectorizerModel:
     def __init__(self, params: VectorizerParams, vocabulary: DataFrame, size: int):
         self.params, self.vocabulary, self.size = params, vocabulary, size
 
+    def release(self) -> None:
+        """Give the cached vocabulary back; the model can still be used."""
+        self.vocabulary.unpersist()
+
+    def term(self, fid: int) -> str:
+        """The term of an identifier; one outside the vocabulary raises."""
+        row = self.vocabulary.where(F.col("fid") == fid).select("term").first() if 0 <= fid < self.size else None
+        if row is None:
+            raise IndexError(f"no term {fid} in a vocabulary of {self.size}")
+        return row["term"]
+
+    def report(self, df: DataFrame) -> dict[str, int]:
+        """Terms of the documents before the filters, of enough documents, and in the vocabulary."""
+        r = document_frequency(df, self.params).agg(F.count("*").alias("terms"), F.count_if(F.col("df") >= self.params.min_df).alias("frequent")).first()
+        return {"terms": r["terms"], "frequent": r["frequent"], "kept": self.size}
+
     @property
     def fitted(self) -> bool:
         return self.size > 0
@@ -147,6 +166,9 @@ class VectorizerModel:
 
 
 def model_from_table(vocabulary: DataFrame, params: VectorizerParams = VectorizerParams()) -> VectorizerModel:
-    """A model over a given (fid, term, df, idf) table; bad idf values make it unfitted."""
-    bad = vocabulary.where(F.isnan("idf") | (F.col("idf") <= 0) | (F.col("idf") == float("inf"))).take(1)
-    return VectorizerModel(params, vocabulary, 0 if bad else vocabulary.count())
+    """A model over a given (fid, term, df, idf) table. An empty table, bad idf values, identifiers
+    other than 0..n-1 and repeated or null terms make it unfitted."""
+    bad = F.count_if(F.col("idf").isNull() | F.isnan("idf") | (F.col("idf") <= 0) | (F.col("idf") == float("inf")) | F.col("term").isNull() | F.col("fid").isNull())
+    c = vocabulary.agg(F.count("*").alias("n"), bad.alias("bad"), F.countDistinct("term").alias("terms"), F.countDistinct("fid").alias("ids"), F.min("fid").alias("low"), F.max("fid").alias("high")).first()
+    ok = c["n"] and not c["bad"] and c["terms"] == c["ids"] == c["n"] and c["low"] == 0 and c["high"] == c["n"] - 1
+    return VectorizerModel(params, vocabulary, c["n"] if ok else 0)

@@ -39,8 +39,17 @@ def evaluate_model(arrays: DataFrame, model: svm.LinearModel) -> DataFrame:
     return evaluate.summary(record.select("actual", F.col("label").alias("predicted")))
 
 
-def predict_texts(docs: DataFrame, v: vectorizer.VectorizerModel, model: svm.LinearModel, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Prediction records with has_features; a vocabulary of another size than the model raises."""
+def predict_texts(docs: DataFrame, v: vectorizer.VectorizerModel, model: svm.LinearModel, keep: tuple[str, ...] = ("doc_id",), empty: str = "flag") -> DataFrame:
+    """Prediction records with has_features; a vocabulary of another size than the model raises.
+
+    Texts without a known feature are scored by the bias and flagged, or with `empty="raise"` an error.
+    """
     if v.size != model.features:
         raise ValueError("vocabulary and model differ in size")
-    return predict.record(svm.score_arrays(v.transform_arrays(docs, keep), model, keep), (*keep, "has_features"))
+    if empty not in ("flag", "raise"):
+        raise ValueError("empty must be flag or raise")
+    out = predict.record(svm.score_arrays(v.transform_arrays(docs, keep), model, keep), (*keep, "has_features"))
+    if empty == "raise":
+        known = F.when(F.col("has_features"), F.lit(True)).otherwise(F.raise_error(F.lit("a text holds no known feature")).cast("boolean"))
+        out = out.withColumn("has_features", known)
+    return out

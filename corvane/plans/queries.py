@@ -19,7 +19,9 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
-PARAMS = vectorizer.VectorizerParams(max_features=2000)
+PARAMS = vectorizer.VectorizerParams()
+#: Dense vectors are for small vocabularies.
+DENSE = vectorizer.VectorizerParams(max_features=2000)
 
 
 def query(name: str, sql: str | None = None):
@@ -43,6 +45,8 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _folder(spark: SparkSession) -> str:
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base and not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return f"{(base or 'file://' + tempfile.mkdtemp(prefix='corvane-')).rstrip('/')}/corvane/{uuid.uuid4().hex}"
 
 
@@ -52,10 +56,13 @@ _TK = _DOCS + ", tk as (select doc_id, list_transform(regexp_extract_all(text, '
 _GRAMS = _TK + ", grams as (select doc_id, list_concat(tk, list_transform(range(1, greatest(len(tk), 1)), lambda i: tk[i] || '_' || tk[i + 1])) as g from tk)"
 _TERMS = _GRAMS + ", terms as (select doc_id, unnest(g) as term from grams)"
 _DF = _TERMS + ", dfs as (select term, count(distinct doc_id) as df from terms group by term)"
-_VOCAB = _DF + """, top as (select term, df from dfs where df >= 3 order by df desc, term limit 2000),
+_VOCAB = _DF + """, top as (select term, df from dfs where df >= 3 order by df desc, term limit 500000),
 vocab as (select cast(row_number() over (order by df desc, term) - 1 as int) as fid, term, df, ln((1.0 + (select count(*) from docs)) / (1.0 + df)) + 1 as idf from top)"""
 
 
+_SMALL = _VOCAB.replace("limit 500000)", "limit 2000)")
+
+
 def _tfidf(weight: str = "1 + ln(tf)", vocab: str = _VOCAB) -> str:
     return f"""{vocab}, tf as (select doc_id, term, count(*) as tf from terms group by doc_id, term),
 v as (select doc_id, fid, ({weight}) * idf as v from tf join vocab using (term)),
@@ -123,21 +130,21 @@ def tfidf_long_form(spark, sf_dir):
 @query("tfidf_raw_tf", f"with {_tfidf('tf')} select doc_id, fid, round(x, 6) as x from vec")
 def tfidf_raw_tf(spark, sf_dir):
     docs = _docs(spark, sf_dir)
-    params = vectorizer.VectorizerParams(max_features=2000, sublinear=False)
+    params = vectorizer.VectorizerParams(sublinear=False)
     return vectorizer.fit(docs, params).transform(docs).withColumn("x", F.round("x", 6))
 
 
 @query("tfidf_bigram_only", f"with {_tfidf(vocab=_BIGRAM)} select doc_id, fid, round(x, 6) as x from vec")
 def tfidf_bigram_only(spark, sf_dir):
     docs = _docs(spark, sf_dir)
-    params = vectorizer.VectorizerParams(max_features=2000, ngram_min=2)
+    params = vectorizer.VectorizerParams(ngram_min=2)
     return vectorizer.fit(docs, params).transform(docs).withColumn("x", F.round("x", 6))
 
 
-@query("tfidf_dense", f"with {_tfidf()}, n as (select doc_id, count(*) as nonzero, sum(x) as total from vec group by doc_id) select d.doc_id, cast((select count(*) from vocab) as int) as size, cast(coalesce(nonzero, 0) as int) as nonzero, round(coalesce(total, 0), 6) as total from docs d left join n using (doc_id)")
+@query("tfidf_dense", f"with {_tfidf(vocab=_SMALL)}, n as (select doc_id, count(*) as nonzero, sum(x) as total from vec group by doc_id) select d.doc_id, cast((select count(*) from vocab) as int) as size, cast(coalesce(nonzero, 0) as int) as nonzero, round(coalesce(total, 0), 6) as total from docs d left join n using (doc_id)")
 def tfidf_dense(spark, sf_dir):
     docs = _docs(spark, sf_dir)
-    dense = vectorizer.fit(docs, PARAMS).transform_dense(docs)
+    dense = vectorizer.fit(docs, DENSE).transform_dense(docs)
     return dense.select("doc_id", F.size("values").alias("size"), F.size(F.filter("values", lambda v: v != 0)).alias("nonzero"), F.round(F.aggregate("values", F.lit(0.0), lambda a, b: a + b), 6).alias("total"))
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from corvane.functions.hashing import SPLIT_SEED, signed
@@ -32,11 +33,27 @@ def write_cache(rows: DataFrame, path: str, source: str | None = None, seed: int
     spark.createDataFrame([values], "version int, dataset_size bigint, dataset_timestamp string, split_seed bigint, train_rows bigint, validation_rows bigint, test_rows bigint").coalesce(1).write.mode("overwrite").parquet(f"{path}/manifest")
 
 
+def paths(base: str, name: str = "model") -> dict[str, str]:
+    """Where the tables of a run stand below a base folder."""
+    base = base.rstrip("/")
+    return {"cache": f"{base}/cache", **{k: f"{base}/{name}/{k}" for k in ("vocabulary", "weights", "report", "metrics")}}
+
+
+def _counts(spark: SparkSession, path: str) -> dict[str, int] | None:
+    """Rows of each split of a cache, or None where there is none."""
+    try:
+        return {r["split"]: r["count"] for r in spark.read.parquet(f"{path}/rows").groupBy("split").count().collect()}
+    except AnalysisException:
+        return None
+
+
 def read_manifest(spark: SparkSession, path: str) -> dict | None:
+    """The manifest's row, or None where there is no manifest."""
     try:
-        row = spark.read.parquet(f"{path}/manifest").first()
-    except Exception:
+        table = spark.read.parquet(f"{path}/manifest")
+    except AnalysisException:
         return None
+    row = table.first()
     return row.asDict() if row else None
 
 
@@ -47,15 +64,15 @@ def cache_is_valid(spark: SparkSession, path: str, source: str | None = None, se
         return False
     if source and (m["dataset_size"], m["dataset_timestamp"]) != file_state(spark, source):
         return False
-    try:
-        counts = {r["split"]: r["count"] for r in spark.read.parquet(f"{path}/rows").groupBy("split").count().collect()}
-    except Exception:
-        return False
-    return all(counts.get(s, 0) == m[f"{s}_rows"] for s in ("train", "validation", "test"))
+    counts = _counts(spark, path)
+    return counts is not None and all(counts.get(s, 0) == m[f"{s}_rows"] for s in ("train", "validation", "test"))
 
 
 def read_cache(spark: SparkSession, path: str, split: str) -> DataFrame:
-    """Rows of one split (partition-pruned); labels outside 0..2 and over-long texts raise."""
+    """Rows of one split (partition-pruned); another version, labels outside 0..2 and over-long texts raise."""
+    manifest = read_manifest(spark, path)
+    if manifest is None or manifest["version"] != CACHE_VERSION:
+        raise ValueError("no cache of this version")
     label = F.when(F.col("label").between(0, 2), F.col("label")).otherwise(F.raise_error(F.lit("cached label out of range")).cast("int"))
     text = F.when(F.octet_length("text") <= MAX_TEXT_BYTES, F.col("text")).otherwise(F.raise_error(F.lit("cached text too long")))
     return spark.read.parquet(f"{path}/rows").where(F.col("split") == split).withColumns({"label": label, "text": text})
@@ -108,6 +125,8 @@ def read_model(spark: SparkSession, path: str) -> LinearModel:
         raise ValueError("unsupported model version")
     weights = np.zeros((3, m["feature_count"]))
     for r in spark.read.parquet(f"{path}/weights").collect():
+        if not 0 <= r["fid"] < m["feature_count"]:
+            raise ValueError("model holds a feature out of range")
         weights[:, r["fid"]] = r[1:]
     bias = np.array([m["b0"], m["b1"], m["b2"]])
     class_weights = (m["cw0"], m["cw1"], m["cw2"])

@@ -239,3 +239,52 @@ def test_whole_runs_use_the_default_parameters(monkeypatch):
     for query in (queries.predict_pipeline, queries.svm_sequential_fit):
         with pytest.raises(Stop):
             query(None, "")
+
+
+def test_commands(spark, tmp_path):
+    from corvane.__main__ import main
+
+    rows = []
+    for k in range(400):
+        word, label = [("good great", "positive"), ("bad awful", "negative"), ("okay plain", "neutral")][k % 3]
+        rows.append((k, f"{word} number{chr(97 + k % 26)}{chr(97 + k // 26)} app", label))
+    source = str(tmp_path / "source")
+    spark.createDataFrame([*rows, (900, None, "positive"), (901, "", "negative")], "review_id bigint, review_text string, sentiment string").write.parquet(source)
+    base, out = str(tmp_path / "run"), str(tmp_path / "out")
+    assert main(["train", source, base, "--epochs", "3", "--max-features", "50", "--min-df", "2"], spark) == 0
+    assert main(["predict", source, base, out], spark) == 0
+    assert spark.read.parquet(out).count() == 400
+    assert main(["evaluate", source, base], spark) == 0
+    unknown = str(tmp_path / "unknown")
+    spark.createDataFrame([(1, "zzz")], "review_id bigint, review_text string").write.parquet(unknown)
+    assert main(["predict", unknown, base, out + "2", "--empty", "raise"], spark) == 1
+    assert main(["predict", unknown, base, out + "3"], spark) == 0
+    assert main(["train", str(tmp_path / "none"), base], spark) == 1 and main(["nothing"], spark) == 2
+
+
+def test_guards(spark, tmp_path):
+    import pytest
+
+    from corvane.operators import svm, vectorizer
+    from corvane.sources import store
+
+    model = svm.LinearModel(2)
+    model.weights[:, 0] = (1.0, 2.0, 3.0)
+    odd = spark.createDataFrame([(1, [0, 7, -1], [1.0, 5.0, 5.0]), (2, [], [])], "doc_id bigint, indices array<int>, values array<double>")
+    got = {r["doc_id"]: (r["s0"], r["s1"], r["s2"], r["has_features"]) for r in svm.score_arrays(odd, model).collect()}
+    assert got == {1: (1.0, 2.0, 3.0, True), 2: (0.0, 0.0, 0.0, False)}
+    path = str(tmp_path / "m")
+    store.write_model(model, spark, path)
+    spark.createDataFrame([(9, 1.0, 1.0, 1.0)], "fid int, w0 double, w1 double, w2 double").write.mode("append").parquet(f"{path}/weights")
+    with pytest.raises(ValueError):
+        store.read_model(spark, path)
+    with pytest.raises(ValueError):
+        store.read_cache(spark, str(tmp_path / "nothing"), "train")
+    good = spark.createDataFrame([(0, "a", 3, 1.5), (1, "b", 3, 1.5)], "fid int, term string, df bigint, idf double")
+    v = vectorizer.model_from_table(good)
+    assert v.size == 2 and v.term(1) == "b"
+    with pytest.raises(IndexError):
+        v.term(2)
+    assert not vectorizer.model_from_table(good.limit(0)).fitted and not vectorizer.model_from_table(good.withColumn("term", good["df"].cast("string"))).fitted
+    docs = spark.createDataFrame([(1, "b a b"), (2, None), (3, "1 2")], "doc_id bigint, text string")
+    assert {tuple(r) for r in vectorizer.term_frequency(docs, vectorizer.VectorizerParams(ngram_max=1)).collect()} == {(1, "a", 1), (1, "b", 2)}
