@@ -314,11 +314,11 @@ def summary_metrics(spark, sf_dir):
 
 
 @query("svm_batch_step", f"""with {_tfidf()}, t as (select fid, x, label, least(0.001 * case label when 1 then 2.4 else 1.0 end / 2, 0.005) as u from vec join docs using (doc_id))
-select fid, round(sum(case when label = 0 then u * x else -u * x end), 6) as g0, round(sum(case when label = 1 then u * x else -u * x end), 6) as g1, round(sum(case when label = 2 then u * x else -u * x end), 6) as g2 from t group by fid""")
+select fid, round(sum(case when label = 0 then u * x else -u * x end), 6) + 0.0 as g0, round(sum(case when label = 1 then u * x else -u * x end), 6) + 0.0 as g1, round(sum(case when label = 2 then u * x else -u * x end), 6) + 0.0 as g2 from t group by fid""")
 def svm_batch_step(spark, sf_dir):
     docs = _docs(spark, sf_dir)
     step = svm.batch_step(vectorizer.fit(docs, PARAMS).transform(docs), docs.select("doc_id", "label"), None, (0.0, 0.0, 0.0), 0.001)
-    return step.select("fid", *[F.round(f"g{c}", 6).alias(f"g{c}") for c in range(3)])
+    return step.select("fid", *[(F.round(f"g{c}", 6) + F.lit(0.0)).alias(f"g{c}") for c in range(3)])
 
 
 @query("svm_sequential_fit")
