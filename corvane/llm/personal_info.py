@@ -16,6 +16,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -46,6 +47,8 @@ _DOT_WORDS = tuple(_DOTS.split("|"))
 #: Characters that compatibility normalisation or the removal of format characters can change.
 _COMPAT = re.compile("(?:.[̀-ͯ]+|[ ­²³¹¼-¾ -‏ -  -₟℀-⅏　ﬀ-ﬆ﻿＀-￯\U0001d400-\U0001d7ff])+", re.S)
 _AT_TOKEN = re.compile(r"\S*@\S*")
+#: A Latin letter beside a look-alike, which a word of both scripts has.
+_BOTH = re.compile("[A-Za-z][{0}]|[{0}][A-Za-z]".format("".join(LOOKALIKES)))
 #: Words with letters of both scripts, in which look-alikes stand for Latin ones.
 _MIXED = re.compile("(?=[^\\W\\d_]*[A-Za-z])(?=[^\\W\\d_]*[" + "".join(LOOKALIKES) + "])[^\\W\\d_]+")
 
@@ -110,7 +113,7 @@ def normalise(text: str) -> Offsets:
     o = Offsets(text)
     if not text.isascii():
         o.rewrite(_per_char([_compat(m) for m in _COMPAT.finditer(text)], text))
-        if not o.text.isascii():
+        if _BOTH.search(o.text):
             o.rewrite([(m.start(), m.end(), "".join(LOOKALIKES.get(c, c) for c in m[0])) for m in _MIXED.finditer(o.text)])
         if "@" in o.text:
             o.rewrite([(m.start(), m.end(), "".join(LOOKALIKES.get(c, c) for c in m[0])) for m in _AT_TOKEN.finditer(o.text) if not m[0].isascii()])
@@ -191,7 +194,19 @@ _ROLES = (
 )
 _OWN = "my|our|his|her|their|your|the|a|an|former|new|mein(?:e|en|em|er)?|unser(?:e|en|em|er)?|ihr(?:e|en|em)?|sein(?:e|en|em)?|mi|su|nuestr[oa]|mon|ma|notre|son|sa|leur|мо[йяейю]+|наш(?:а|ей|ему)?"
 _ROLE = re.compile(rf"(?<!says )(?<!said )(?<!sagt )(?<!meint )(?<!dice )(?<!dit )\b(?:{_OWN}) (?:{_ROLES}),? ({_FULL})", re.I)
+_ROLE_WORD = re.compile(_ROLES, re.I)
+#: A word before a capital: where the costlier pattern of roles is tried.
+_BEFORE_CAPITAL = re.compile(r" (?=([\w-]+),? [A-ZÀ-ÞА-Я])")
+LONGEST_OWN = 1 + max(map(len, _OWN.split("|")))
+
+
+@lru_cache(1 << 16)
+def _is_role(word: str) -> bool:
+    return _ROLE_WORD.fullmatch(word) is not None
+
+
 #: An initial and a surname, neither first nor last of a sentence.
+_INITIAL_HINT = re.compile(r" [A-ZÀ-ÞА-Я]\. ?[A-ZÀ-ÞА-Я]")
 _INITIAL = re.compile(r"(?:(?<=[^\W\d_] )|(?<=-- ))((?:[A-ZÀ-ÞА-Я][a-zà-ÿа-я'’]+ )?[A-ZÀ-ÞА-Я]\. ?(?:[A-ZÀ-ÞА-Я]\. ?)?[A-ZÀ-ÞА-Я][a-zà-ÿа-я'’]+(?:-[A-ZÀ-ÞА-Я][a-zà-ÿа-я]+)?)(?= [^\W\dA-ZÀ-Þ_])")
 _NAMES = [
     # (literals one of which the text must hold, pattern, needs capitals): a cue on both sides
@@ -214,7 +229,8 @@ _NAMES = [
 ]
 _NAMES = [(hints, re.compile(p, re.I), caps) for hints, p, caps in _NAMES]
 _TITLES = ("dr", "mr", "mrs", "ms", "miss", "prof", "herr", "frau", "hr", "hrn", "fr", "sr", "sra", "srta", "don", "doña", "mme", "mlle", "m", "г-н", "г-жа")
-_TITLE_HINTS = tuple(f"{t}{end}" for t in _TITLES for end in (". ", " ") if not (t in ("m", "don", "fr", "hr") and end == " "))
+#: A title in the text without case; those that are words or letters of their own only with a point.
+_TITLE_HINT = re.compile(r"(?<![^\W_])(?:" + "|".join(re.escape(x) + (r"\. " if x in ("m", "don", "fr", "hr") else r"\.? ") for x in _TITLES) + ")")
 _TITLED_CUE = re.compile(rf"{_TITLE}((?:[^\W\d_]\. ?|{_TOK} )?(?:[^\W\d_]\. ?)?{_TOK})(?= (?:promised|closed|recommended|called|said|wrote|told|replied|answered|signed|from|here|hat|sagte|schrieb|dijo|a dit|dit)\b)", re.I)
 _TITLED = re.compile(rf"{_TITLE}([A-ZÀ-ÞА-Я](?:\. ?|[\w'’]+ )?(?:[A-ZÀ-Þ]\. ?)?[A-ZÀ-ÞА-Я][a-zà-ÿа-я'’]+(?:-[A-ZÀ-ÞА-Я][\w'’]+)?|[A-ZÀ-ÞА-Я][a-zà-ÿа-я'’]+(?:-[A-ZÀ-ÞА-Я][\w'’]+)?)")
 # Words that are no part of a name.
@@ -327,17 +343,19 @@ def find(text: str | None) -> list[tuple[str, int, int]]:
             for m in pattern.finditer(t):
                 if _good_name(m[1], caps, t, m.end(1)):
                     add("name", *m.span(1))
-    if any(h in low for h in _TITLE_HINTS):
+    if _TITLE_HINT.search(low):
         for m in _TITLED_CUE.finditer(t):
             if _good_name(m[1], False, t, m.end(1)):
                 add("name", *m.span(1))
         for m in _TITLED.finditer(t):
             if _good_name(m[1], True, t, m.end(1)):
                 add("name", *m.span(1))
-    for m in _ROLE.finditer(t):
-        if _good_name(m[1], True, t, m.end(1)):
-            add("name", *m.span(1))
-    for m in _INITIAL.finditer(t) if ". " in t else ():
+    for before in _BEFORE_CAPITAL.finditer(t):
+        if _is_role(before[1].lower()):
+            m = _ROLE.search(t, max(0, before.start() - LONGEST_OWN), len(t))
+            if m and m.start() <= before.start() and _good_name(m[1], True, t, m.end(1)):
+                add("name", *m.span(1))
+    for m in _INITIAL.finditer(t) if _INITIAL_HINT.search(t) else ():
         if _good_name(m[1], True, t, m.end(1)):
             add("name", *m.span(1))
     spans = sorted((x, y, kind) for kind, a, b in found for x, y in [o.span(a, b)])
