@@ -129,6 +129,18 @@ def test_overlap(spark):
     assert split_overlap.found(df.limit(0), manifests).count() == 0
 
 
+def test_index_blocks_are_neither_copied_nor_shuffled(spark):
+    rng = random.Random(6)
+    rows = [(k, t, rng.randrange(2)) for k, t in enumerate(texts(160, 11))]
+    entry, counts = bags.entries(spark.createDataFrame(rows, "id bigint, text string, side int"))
+    pairs = split_overlap.bag_pairs(entry, counts, 15)
+    # neither train texts nor indexes stand in pairs of a block and its share of the train texts
+    assert "CoGroup" not in pairs._jdf.queryExecution().toString()
+    got = {(i, j) for r in pairs.join(entry.where("side = 0").selectExpr("digest as train", "ids as x"), "train").join(entry.where("side = 1").selectExpr("digest as eval", "ids as y"), "eval").collect() for i in r["x"] for j in r["y"]}
+    assert got == {(i, j) for i, a, s in rows for j, b, z in rows if s == 0 and z == 1 and linked(a, b)}
+    assert all(n > 1 for _, _, n in split_overlap.shard_plan({12: 31, 13: 4}, 15)[:1])
+
+
 def test_fm_index():
     rng = np.random.default_rng(1)
     seqs = [rng.integers(1, 6, rng.integers(0, 12)).astype(np.uint64) for _ in range(30)]
