@@ -1,8 +1,10 @@
 """Cross-split overlap, near-duplicate groups and formatting copies against brute force."""
 
 import random
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 
 from corvane.functions.hashing import SPLIT_SEED, signed, split_py
 from corvane.llm import bags, edit_groups, format_copies, split_overlap
@@ -93,6 +95,40 @@ def test_sketches():
             w *= 2
 
 
+def test_pieces_name_every_linked_pair():
+    """Tokens of few and of many classes, texts of all widths of sketches and openings beyond PLACES."""
+    rng = np.random.default_rng(8)
+    for size, lengths, vocabulary in ((700, (12, 40), 150), (900, (80, 130), 600), (120, (380, 460), 3000)):
+        sets: list[np.ndarray] = []
+        for k in range(size):
+            if sets and k % 3 == 0:
+                a = sets[int(rng.integers(len(sets)))]
+                keep = rng.permutation(a)[: len(a) - int(rng.integers(0, len(a) // 5 + 2))]
+                a = np.union1d(keep, rng.integers(0, vocabulary, int(rng.integers(0, len(a) // 8 + 1))))
+            else:
+                # rare ones first: the density rises with the code
+                a = np.unique((vocabulary * np.sqrt(rng.random(int(rng.integers(*lengths))))).astype(np.int64))
+            sets.append(a[:].astype(np.uint64))
+        n = np.array([len(a) for a in sets], np.int32)
+        ids = np.arange(size, dtype=np.int64) * 7
+        batch = pa.RecordBatch.from_arrays([pa.array(ids), pa.array(n), pa.array([bags.pack(a) for a in sets]), pa.array(bags.sketches(np.concatenate(sets), n)), pa.array(ids)], ["id", "n", "codes", "sketch", "root"])
+        of = np.arange(vocabulary) * 3 // vocabulary
+        sent = pa.Table.from_batches(list(edit_groups._segments(SimpleNamespace(value=(of, 3, {vocabulary - 5: 2, vocabulary - 9: 3}, 0)))(iter([batch]))))
+        named = [edit_groups._compare(0)(iter(sent.sort_by("piece").to_batches()))]
+        got = {(x, y) for out in named for b in out for x, y in zip(b.column("a").to_pylist(), b.column("b").to_pylist())}
+        want = {(7 * i, 7 * j) for i in range(size) for j in range(i + 1, size) if n[i] >= 1 and 5 * len(np.intersect1d(sets[i], sets[j], assume_unique=True)) >= 4 * max(n[i], n[j])}
+        assert len(want) > 20 and want <= got
+        # what stands before the first shared token is taken out of both sketches
+        rests = edit_groups.Rests(bags.Sketches(sent.column("sketch").to_pylist()).words(1)[:, 0], sent.column("before").to_pylist())
+        row = int(np.argmax(n))
+        first = int(np.flatnonzero(np.array(sent.column("id").to_pylist()) == ids[row])[0])
+        place = np.frombuffer(sent.column("places")[first].as_py(), "<u2")[:1].astype(np.int64)
+        rest, gone = rests.after(np.array([first]), place)
+        kept = sets[row][int(gone[0]) :]
+        assert gone[0] == min(place[0], edit_groups.PLACES) or gone[0] == rests.ahead[first]
+        assert int(rest[0]) == int(np.bitwise_xor.reduce(np.uint64(1) << bags.sketch_bits(kept, 1)))
+
+
 def test_partial_overlaps_add_up():
     rng = np.random.default_rng(5)
     order = edit_groups.Order([(f"t{k}", 1 + k // 9) for k in range(400)])
