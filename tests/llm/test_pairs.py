@@ -129,6 +129,17 @@ def test_pieces_name_every_linked_pair():
         assert int(rest[0]) == int(np.bitwise_xor.reduce(np.uint64(1) << bags.sketch_bits(kept, 1)))
 
 
+def test_layout_bounds_bytes_of_rare_tokens():
+    """Rare tokens ask for little work, but a fragment must not hold all of them."""
+    order = edit_groups.Order([(f"t{k}", 60 if k < 58_000 else 200_000) for k in range(58_100)])
+    rng = np.random.default_rng(4)
+    openings = [np.concatenate((np.sort(rng.integers(0, 58_000, 14)), 58_000 + np.sort(rng.permutation(100)[:18]))).astype(np.uint64) for _ in range(2000)]
+    of, fragments, _, _ = edit_groups.layout(openings, 250_000, order, 12)
+    held = np.bincount(of[:58_000], weights=order.df[:58_000], minlength=fragments)
+    assert held.max() * edit_groups.ROW_BYTES <= 1.5 * edit_groups.FRAGMENT_BYTES
+    assert (np.diff(of) >= 0).all() and of[-1] < fragments
+
+
 def test_partial_overlaps_add_up():
     rng = np.random.default_rng(5)
     order = edit_groups.Order([(f"t{k}", 1 + k // 9) for k in range(400)])
